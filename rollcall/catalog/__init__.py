@@ -1,0 +1,30 @@
+"""Queries over the given tables, each with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(build):
+        QUERIES[name] = build
+        if sql is not None:
+            SQL[name] = sql
+        return build
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    from rollcall.catalog import (  # noqa: F401
+        changes, extraction, reading, scalars, snapshots, sources, streams,
+    )
