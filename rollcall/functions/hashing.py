@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollcall.functions.text import col, identity_text, location_text, strip
+from rollcall.functions.text import col, identity_text, let, location_text, strip
 from rollcall.functions.urls import canonical_url
 
 DIGEST = "^[0-9a-f]{64}$"
 
 
 def _prefixed(*fields: Column) -> Column:
-    return F.sha2(
-        F.concat(*[F.concat(F.length(f).cast("string"), F.lit(":"), f) for f in fields]), 256
+    """Digest of all fields, each behind its length; NULL if a field is NULL."""
+    parts = F.transform(
+        F.array(*fields), lambda f: F.concat(F.length(f).cast("string"), F.lit(":"), f)
     )
+    return let(parts, lambda p: F.when(
+        F.forall(p, lambda f: f.isNotNull()), F.sha2(F.array_join(p, ""), 256)
+    ))
 
 
 def base_hash(company: Column | str, title: Column | str) -> Column:
@@ -24,8 +28,7 @@ def base_hash(company: Column | str, title: Column | str) -> Column:
 
 def digest(value: Column | str) -> Column:
     """Canonical digest text; NULL unless it is 64 hexadecimal characters."""
-    text = F.lower(strip(value))
-    return F.when(text.rlike(DIGEST), text)
+    return let(F.lower(strip(value)), lambda text: F.when(text.rlike(DIGEST), text))
 
 
 def is_strict_digest(value: Column | str) -> Column:

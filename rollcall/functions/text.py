@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,6 +49,11 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_ascii(value: Column) -> Column:
     return F.octet_length(value) == F.char_length(value)
 
@@ -103,32 +109,41 @@ def location_text(value: Column | str) -> Column:
 def location_display(values: Column | str) -> Column:
     """A list of places as one text; blanks dropped, repeats dropped, order kept."""
     parts = F.array_distinct(F.filter(F.transform(col(values), collapse), lambda p: p != ""))
-    joined = F.array_join(parts, "; ")
-    return F.when(F.coalesce(joined, F.lit("")) == "", F.lit(fixed.UNSPECIFIED)).otherwise(joined)
+    return F.coalesce(F.nullif(F.array_join(parts, "; "), F.lit("")), F.lit(fixed.UNSPECIFIED))
 
 
 def closed_flag(json_value: Column | str) -> Column:
     """Read a closed flag kept as JSON text; NULL where it cannot be read.
 
     A missing value is open. Numbers are closed only when equal to 1. Strings are compared
-    with the fixed words.
+    with the fixed words, white space around them ignored.
     """
-    text = F.trim(col(json_value))
-    quoted = text.startswith('"')
-    word = casefold(strip(F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")))
-    return (
-        F.when(text.isNull() | (text == "null"), F.lit(False))
-        .when(quoted & word.isin(*fixed.CLOSED_WORDS), F.lit(True))
-        .when(quoted & word.isin(*fixed.OPEN_WORDS), F.lit(False))
-        .when(text.isin("true", "false"), text == "true")
-        .when(text.rlike(r"^-?\d+$"), text == "1")
-    )
+    words = casefold(col(json_value))
+
+    def read(text: Column) -> Column:
+        def quoted(options) -> Column:
+            pattern = "|".join(o for o in options if o)
+            blank = "?" if "" in options else ""
+            return text.rlike(rf'(?U)^"(?:\\[tnr]|\s)*(?:{pattern}){blank}(?:\\[tnr]|\s)*"$')
+
+        return (
+            F.when(text.isNull() | (text == "null"), F.lit(False))
+            .when(quoted(fixed.CLOSED_WORDS), F.lit(True))
+            .when(quoted(fixed.OPEN_WORDS), F.lit(False))
+            .when(text.isin("true", "false"), text == "true")
+            .when(text.rlike(r"^-?\d+$"), text == "1")
+        )
+
+    return let(F.trim(words), read)
 
 
 def job_type(value: Column | str) -> Column:
     """Canonical job type label; aliases resolved, unknown labels kept."""
-    label = F.translate(F.lower(strip(value)), "- ", "__")
-    out = label
-    for alias, name in fixed.JOB_TYPE_ALIASES.items():
-        out = F.when(label == alias, F.lit(name)).otherwise(out)
-    return out
+
+    def resolve(label: Column) -> Column:
+        out = label
+        for alias, name in fixed.JOB_TYPE_ALIASES.items():
+            out = F.when(label == alias, F.lit(name)).otherwise(out)
+        return out
+
+    return let(F.translate(F.lower(strip(value)), "- ", "__"), resolve)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rollcall import fixed_values as fixed
-from rollcall.functions.text import col, nfkc, strip
+from rollcall.functions.text import col, let, nfkc, strip
 
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 _AUTHORITY = r"(?s)^//(.*@)?(\[[^\]]*\]|[^:@\[\]]*)(:.*)?$"
@@ -30,26 +30,31 @@ class Parts:
     bad_authority: Column
 
 
-def split_url(url: Column) -> Parts:
-    def part(n: int) -> Column:
-        return F.regexp_extract(url, _PARTS, n)
+def with_parts(url: Column, body: Callable[[Parts], Column]) -> Column:
+    """Build an expression from the components of a URL; each pattern runs once."""
 
-    netloc = part(2)
+    def split(text: Column) -> Column:
+        return F.struct(
+            F.lower(F.regexp_extract(text, _PARTS, 1)).alias("scheme"),
+            *[F.regexp_extract(text, _PARTS, n).alias(name)
+              for n, name in enumerate(("netloc", "path", "query", "fragment"), 2)],
+        )
 
-    def authority(n: int) -> Column:
-        return F.regexp_extract(netloc, _AUTHORITY, n)
+    def authority(p: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(p["netloc"], _AUTHORITY, 1).alias("userinfo"),
+            F.lower(F.regexp_extract(p["netloc"], _AUTHORITY, 2)).alias("host"),
+            F.substring(F.regexp_extract(p["netloc"], _AUTHORITY, 3), 2, 1_000_000).alias("port"),
+            ((p["netloc"] != "") & ~p["netloc"].rlike(_AUTHORITY)).alias("bad_authority"),
+        )
 
-    return Parts(
-        scheme=F.lower(part(1)),
-        netloc=netloc,
-        path=part(3),
-        query=part(4),
-        fragment=part(5),
-        userinfo=authority(1),
-        host=F.lower(authority(2)),
-        port=F.substring(authority(3), 2, 1_000_000),
-        bad_authority=(netloc != "") & ~netloc.rlike(_AUTHORITY),
-    )
+    def build(p: Column) -> Column:
+        return let(authority(p), lambda a: body(Parts(
+            **{n: p[n] for n in ("scheme", "netloc", "path", "query", "fragment")},
+            **{n: a[n] for n in ("userinfo", "host", "port", "bad_authority")},
+        )))
+
+    return let(url, lambda text: let(split(text), build))
 
 
 def _port_ok(port: Column) -> Column:
@@ -66,36 +71,40 @@ def canonical_url(url: Column | str) -> Column:
 
     Empty queries and fragments vanish and ports are printed as plain integers.
     """
-    text = F.regexp_replace(strip(nfkc(url)), "[\t\r\n]", "")
-    p = split_url(text)
-    tail = F.concat(p.path, _without_empty(p.query, "?"), _without_empty(p.fragment, "#"))
-    scheme = F.when(p.scheme != "", F.concat(p.scheme, F.lit(":"))).otherwise(F.lit(""))
-    port = F.when(
-        p.port != "", F.concat(F.lit(":"), p.port.try_cast("int").cast("string"))
-    ).otherwise(F.lit(""))
-    with_host = F.concat(scheme, F.lit("//"), p.userinfo, p.host, port, tail)
-    without_host = F.concat(
-        scheme, F.when(p.netloc == "//", F.lit("")).otherwise(p.netloc), tail
-    )
-    return (
-        F.when(p.bad_authority | ~_port_ok(p.port), F.lit(None).cast("string"))
-        .when(p.host != "", with_host)
-        .otherwise(without_host)
-    )
+
+    def build(p: Parts) -> Column:
+        tail = F.concat(p.path, _without_empty(p.query, "?"), _without_empty(p.fragment, "#"))
+        port = F.when(
+            p.port != "", F.concat(F.lit(":"), p.port.try_cast("int").cast("string"))
+        ).otherwise(F.lit(""))
+        netloc = F.when(
+            p.host != "", F.concat(F.lit("//"), p.userinfo, p.host, port)
+        ).otherwise(F.when(p.netloc == "//", F.lit("")).otherwise(p.netloc))
+        return F.when(
+            ~p.bad_authority & _port_ok(p.port), F.concat(_with_colon(p.scheme), netloc, tail)
+        )
+
+    return with_parts(F.regexp_replace(strip(nfkc(url)), "[\t\r\n]", ""), build)
+
+
+def _with_colon(scheme: Column) -> Column:
+    return F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit(""))
 
 
 def stored_url(url: Column | str) -> Column:
     """The form kept in a snapshot: lower-case scheme and host, ``/`` for an empty path."""
-    text = strip(url)
-    p = split_url(text)
-    default = F.when(p.scheme == "https", F.lit("443")).otherwise(F.lit("80"))
-    port = F.when((p.port == "") | (p.port == default), F.lit("")).otherwise(
-        F.concat(F.lit(":"), p.port)
-    )
-    path = F.when(p.path == "", F.lit("/")).otherwise(p.path)
-    return F.concat(
-        p.scheme, F.lit("://"), p.userinfo, p.host, port, path, p.query, p.fragment
-    )
+
+    def build(p: Parts) -> Column:
+        default = F.when(p.scheme == "https", F.lit("443")).otherwise(F.lit("80"))
+        port = F.when((p.port == "") | (p.port == default), F.lit("")).otherwise(
+            F.concat(F.lit(":"), p.port)
+        )
+        path = F.when(p.path == "", F.lit("/")).otherwise(p.path)
+        return F.concat(
+            p.scheme, F.lit("://"), p.userinfo, p.host, port, path, p.query, p.fragment
+        )
+
+    return with_parts(strip(url), build)
 
 
 def is_http_url(url: Column) -> Column:
@@ -118,8 +127,6 @@ def redact_query(
     url: Column | str, keys: Sequence[str] = fixed.SECRET_QUERY_KEYS
 ) -> Column:
     """Replace the values of secret query keys; order and blank values are kept."""
-    url = col(url)
-    p = split_url(url)
     secret = [k.casefold() for k in keys]
 
     def pair(item: Column) -> Column:
@@ -129,26 +136,38 @@ def redact_query(
         shown = F.when(F.lower(key).isin(*secret), F.lit(fixed.REDACTED)).otherwise(value)
         return F.concat(_encode(key), F.lit("="), _encode(shown))
 
-    items = F.filter(F.split(F.substring(p.query, 2, 1_000_000_000), "&"), lambda i: i != "")
-    query = F.array_join(F.transform(items, pair), "&")
-    shown = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
-    scheme = F.when(p.scheme != "", F.concat(p.scheme, F.lit(":"))).otherwise(F.lit(""))
-    return F.concat(scheme, p.netloc, p.path, shown, _without_empty(p.fragment, "#"))
+    def build(p: Parts) -> Column:
+        items = F.filter(
+            F.split(F.substring(p.query, 2, 1_000_000_000), "&"), lambda i: i != ""
+        )
+        query = F.nullif(F.array_join(F.transform(items, pair), "&"), F.lit(""))
+        shown = F.coalesce(F.concat(F.lit("?"), query), F.lit(""))
+        return F.concat(
+            _with_colon(p.scheme), p.netloc, p.path, shown, _without_empty(p.fragment, "#")
+        )
+
+    return with_parts(col(url), build)
 
 
 def domain_of(value: Column | str) -> Column:
     """Host of a URL or of a bare domain, without trailing dots; NULL where there is none."""
-    text = F.lower(strip(value))
-    p = split_url(F.when(text.contains("://"), text).otherwise(F.concat(F.lit("//"), text)))
-    host = F.regexp_replace(p.host, r"^\[|\]$", "")
-    return F.when(~p.bad_authority & (host != ""), F.rtrim(host, F.lit(".")))
+    full = let(
+        F.lower(strip(value)),
+        lambda t: F.when(t.contains("://"), t).otherwise(F.concat(F.lit("//"), t)),
+    )
+    return with_parts(full, lambda p: F.when(
+        ~p.bad_authority, F.rtrim(F.nullif(_bare_host(p), F.lit("")), F.lit("."))
+    ))
+
+
+def _bare_host(p: Parts) -> Column:
+    return F.regexp_replace(p.host, r"^\[|\]$", "")
 
 
 @dataclass(frozen=True)
 class Endpoint:
-    """Checked parts of an endpoint address."""
+    """Checked forms of an endpoint address; all NULL for an invalid one."""
 
-    valid: Column
     shown: Column
     key: Column
 
@@ -158,56 +177,60 @@ def endpoint(value: Column | str) -> Endpoint:
 
     ``shown`` marks that credentials exist, ``key`` leaves them out.
     """
-    text = strip(value)
-    p = split_url(text)
-    port = p.port.try_cast("int")
-    host = F.regexp_replace(p.host, r"^\[|\]$", "")
-    valid = F.coalesce(
-        p.scheme.isin(*fixed.ENDPOINT_SCHEMES) & ~p.bad_authority & (host != "")
-        & p.port.rlike("^[0-9]+$") & port.between(1, 65535)
-        & p.path.isin("", "/") & p.query.isin("", "?") & p.fragment.isin("", "#"),
-        F.lit(False),
-    )
-    address = F.concat(host, F.lit(":"), port.cast("string"))
-    auth = F.when(p.userinfo != "", F.lit("***@")).otherwise(F.lit(""))
-    return Endpoint(
-        valid=valid,
-        shown=F.when(valid, F.concat(p.scheme, F.lit("://"), auth, address)),
-        key=F.when(valid, F.concat(p.scheme, F.lit("://"), address)),
-    )
+
+    def build(p: Parts) -> Column:
+        port = p.port.try_cast("int")
+        valid = (
+            p.scheme.isin(*fixed.ENDPOINT_SCHEMES) & ~p.bad_authority & (p.host != "")
+            & p.port.rlike("^[0-9]+$") & port.between(1, 65535)
+            & p.path.isin("", "/") & p.query.isin("", "?") & p.fragment.isin("", "#")
+        )
+        address = F.concat(_bare_host(p), F.lit(":"), port.cast("string"))
+        auth = F.when(p.userinfo != "", F.lit("***@")).otherwise(F.lit(""))
+        start = F.concat(p.scheme, F.lit("://"))
+        return F.when(valid, F.struct(
+            F.concat(start, auth, address).alias("shown"), F.concat(start, address).alias("key")
+        ))
+
+    parts = with_parts(strip(value), build)
+    return Endpoint(shown=parts["shown"], key=parts["key"])
 
 
 def endpoint_key(value: Column | str) -> Column:
     """The metrics key of an outcome row: scheme, host and port only; ``unknown`` if no host."""
-    p = split_url(strip(value))
-    host = F.regexp_replace(p.host, r"^\[|\]$", "")
-    port = p.port.try_cast("int")
-    return F.concat(
-        p.scheme,
-        F.when(p.scheme != "", F.lit("://")).otherwise(F.lit("//")),
-        F.when(host != "", host).otherwise(F.lit("unknown")),
-        F.when(port > 0, F.concat(F.lit(":"), port.cast("string"))).otherwise(F.lit("")),
-    )
+
+    def build(p: Parts) -> Column:
+        port = p.port.try_cast("int")
+        return F.concat(
+            _with_colon(p.scheme), F.lit("//"),
+            F.coalesce(F.nullif(_bare_host(p), F.lit("")), F.lit("unknown")),
+            F.when(port > 0, F.concat(F.lit(":"), port.cast("string"))).otherwise(F.lit("")),
+        )
+
+    return with_parts(strip(value), build)
 
 
 def join_url(base: Column | str, target: Column | str) -> Column:
     """Resolve a link against the page it was found on (RFC 3986, section 5)."""
     base, target = col(base), col(target)
-    b, t = split_url(base), split_url(target)
-    root = F.concat(b.scheme, F.lit(":"), b.netloc)
-    folder = F.when(b.path == "", F.lit("/")).otherwise(
-        F.regexp_replace(b.path, "[^/]*$", "")
-    )
-    merged = F.when(t.path.startswith("/"), t.path).otherwise(F.concat(folder, t.path))
-    tail = F.concat(_without_empty(t.query, "?"), _without_empty(t.fragment, "#"))
-    return (
-        F.when(t.scheme != "", target)
-        .when(t.netloc != "", F.concat(b.scheme, F.lit(":"), target))
-        .when(t.path != "", F.concat(root, _without_dots(merged), tail))
-        .when(t.query != "", F.concat(root, b.path, tail))
-        .when(t.fragment != "", F.concat(root, b.path, b.query, t.fragment))
-        .otherwise(base)
-    )
+
+    def build(b: Parts, t: Parts) -> Column:
+        root = F.concat(b.scheme, F.lit(":"), b.netloc)
+        folder = F.when(b.path == "", F.lit("/")).otherwise(
+            F.regexp_replace(b.path, "[^/]*$", "")
+        )
+        merged = F.when(t.path.startswith("/"), t.path).otherwise(F.concat(folder, t.path))
+        tail = F.concat(_without_empty(t.query, "?"), _without_empty(t.fragment, "#"))
+        return (
+            F.when(t.scheme != "", target)
+            .when(t.netloc != "", F.concat(b.scheme, F.lit(":"), target))
+            .when(t.path != "", F.concat(root, let(merged, _without_dots), tail))
+            .when(t.query != "", F.concat(root, b.path, tail))
+            .when(t.fragment != "", F.concat(root, b.path, b.query, t.fragment))
+            .otherwise(base)
+        )
+
+    return with_parts(base, lambda b: with_parts(target, lambda t: build(b, t)))
 
 
 def _without_dots(path: Column) -> Column:
