@@ -204,6 +204,10 @@ def log_transitions(spark, sf):
 
 
 def messages(spark, sf):
+    return messages_of(table(spark, sf, "events"))
+
+
+def messages_of(rows):
     """Event messages with defects that follow from the event type and value."""
     kind, value = F.col("event_type"), F.col("value")
     key = F.col("event_id").cast("string")
@@ -218,7 +222,7 @@ def messages(spark, sf):
         F.when(kind == "purchase", F.lit(',"extra":1}')).otherwise(F.lit("}")),
     )
     broken = F.when(value < 3, F.substring(text, 1, 40)).otherwise(text)
-    return table(spark, sf, "events").select("event_id", broken.alias("value"))
+    return rows.select("event_id", broken.alias("value"))
 
 
 @query("event_validate", """

@@ -1,0 +1,64 @@
+"""Fingerprint dedupe against a bounded buffer, in arrival order.
+
+A repeat is dropped while its fingerprint is in the buffer of its page, and accepted again after
+it left. The state of a page never holds more than ``max_payloads`` fingerprints.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from rollcall import fixed_values as fixed
+from rollcall.streaming.run import ROCKSDB
+
+
+class _Buffer(StatefulProcessor):
+    def __init__(self, most: int, most_bytes: int | None):
+        self.most, self.most_bytes = most, most_bytes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        held = T.StructType([
+            T.StructField("marks", T.ArrayType(T.StringType())),
+            T.StructField("sizes", T.ArrayType(T.LongType())),
+        ])
+        self.held = handle.getValueState("held", held)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        marks, sizes = self.held.get() if self.held.exists() else ([], [])
+        buffer = dict(zip(marks, sizes))
+        total = sum(sizes)
+        for row in rows:
+            if row.fingerprint in buffer:
+                continue
+            buffer[row.fingerprint] = row.estimated_bytes
+            total += row.estimated_bytes
+            while len(buffer) > self.most or (self.most_bytes and total > self.most_bytes):
+                total -= buffer.pop(next(iter(buffer)))
+            yield Row(page_key=key[0], seq=row.seq, fingerprint=row.fingerprint)
+        self.held.update((list(buffer), list(buffer.values())))
+
+    def close(self) -> None:
+        pass
+
+
+def accepted_captures(
+    captured: DataFrame, *, max_payloads: int = fixed.MAX_PAYLOADS,
+    max_bytes: int | None = fixed.MAX_PAYLOAD_BYTES,
+) -> DataFrame:
+    """Accepted (page_key, seq, fingerprint) of a capture stream."""
+    captured.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    out = T.StructType([
+        T.StructField("page_key", T.StringType()), T.StructField("seq", T.LongType()),
+        T.StructField("fingerprint", T.StringType()),
+    ])
+    rows = captured.selectExpr(
+        "CAST(page_key AS STRING) AS page_key", "CAST(seq AS BIGINT) AS seq", "fingerprint",
+        "CAST(estimated_bytes AS BIGINT) AS estimated_bytes",
+    )
+    return rows.groupBy("page_key").transformWithState(
+        _Buffer(max_payloads, max_bytes), out, "Append", "None"
+    )
