@@ -55,8 +55,9 @@ def classify_stream(
 class _Arrivals(StatefulProcessor):
     """Keeps (content, time) of the last arrival per key."""
 
-    def __init__(self, ttl_seconds: int, states: Sequence[str]):
+    def __init__(self, ttl_seconds: int, states: Sequence[str], evict: bool):
         self.ttl = ttl_seconds * 1_000_000
+        self.evict = evict
         self.states = tuple(states)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -64,7 +65,8 @@ class _Arrivals(StatefulProcessor):
             T.StructField("content", T.StringType()), T.StructField("at", T.LongType()),
         ])
         # Expiry is decided in event time; the store drops entries long after that.
-        self.last = handle.getValueState("last", schema, self.ttl // 1000 * 2)
+        keep = {"ttlDurationMs": self.ttl // 1000 * 2} if self.evict else {}
+        self.last = handle.getValueState("last", schema, **keep)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new, updated, closed, same = self.states
@@ -86,9 +88,13 @@ class _Arrivals(StatefulProcessor):
 
 def classify_arrivals(
     observations: DataFrame, *, keys: Sequence[str], content: str, closed: str, ts: str,
-    ordinal: str, ttl_seconds: int = fixed.DEFAULT_TTL_SECONDS,
+    ordinal: str, ttl_seconds: int = fixed.DEFAULT_TTL_SECONDS, evict: bool = False,
 ) -> DataFrame:
-    """States as (key, ordinal, state), in the order in which rows arrive at the state store."""
+    """States as (key, ordinal, state), in the order in which rows arrive at the state store.
+
+    ``evict`` lets the store drop entries of keys that stay silent. Such a stream keeps starting
+    batches to look for them, so use it with polling, not with a single run.
+    """
     check_ttl(ttl_seconds)
     observations.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", ROCKSDB
@@ -105,5 +111,6 @@ def classify_arrivals(
         T.StructField("state", T.StringType()),
     ])
     return rows.groupBy("key").transformWithState(
-        _Arrivals(ttl_seconds, fixed.STATES), out, "Append", "ProcessingTime"
+        _Arrivals(ttl_seconds, fixed.STATES, evict), out, "Append",
+        "ProcessingTime" if evict else "None",
     )
