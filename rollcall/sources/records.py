@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall import fixed_values as fixed
-from rollcall.functions.text import casefold, col, collapse, strip
+from rollcall.functions.text import casefold, col, collapse, let, strip
 from rollcall.functions.urls import is_http_url, join_url
 
 ITEMS = "array<variant>"
@@ -273,7 +273,7 @@ def portal(
 
 
 def flatten_envelopes(
-    documents: DataFrame, *, body: str = "body", key: Sequence[str] = ("doc",), depth: int = 8
+    documents: DataFrame, *, body: str = "body", key: Sequence[str] = ("doc",), depth: int = 6
 ) -> tuple[DataFrame, DataFrame]:
     """Records inside nested lists and containers, in document order.
 
@@ -287,43 +287,65 @@ def flatten_envelopes(
     ).where("v IS NOT NULL")
     for _ in range(depth):
         level = _open_once(level, key)
-    nested, records = _container(F.col("v"))
-    # A record found by the last step is complete although it was not visited again.
-    final = level.withColumn("done", F.col("done") | (records & nested.isNull()))
-    good = final.where("done").select(*key, "path", F.col("v").alias("record"))
-    is_list = F.schema_of_variant("v").startswith("ARRAY")
-    left = final.where(~F.col("done") & (is_list | _is_object(F.col("v")))).select(
+    # One more look tells the records the last step reached from values that are still nested.
+    final = _looked_at(level, key)
+    good = final.where("look.done").select(*key, "path", F.col("v").alias("record"))
+    left = final.where("NOT look.done AND size(look.parts) > 0").select(
         *key, "path", F.to_json("v").alias("body"), F.lit("nested too deeply").alias("reason")
     )
     return good, left
 
 
-def _container(value: Column) -> tuple[Column, Column]:
-    """(what replaces an object, whether the value is an object)."""
-    chosen = F.coalesce(*[_at(value, f"$.{k}") for k in fixed.CONTAINER_KEYS])
-    shape = F.schema_of_variant(chosen)
-    opens = shape.startswith("ARRAY") | shape.startswith("OBJECT")
-    is_object = _is_object(value)
-    return F.when(is_object & F.coalesce(opens, F.lit(False)), chosen), is_object
+FIELDS = "map<string,variant>"
+
+
+def _look(value: Column, done: Column) -> Column:
+    """(is it a record, the values that replace it); scalars have neither."""
+
+    def nested(chosen: Column) -> Column:
+        opens = (
+            F.try_variant_get(chosen, "$", ITEMS).isNotNull()
+            | F.try_variant_get(chosen, "$", FIELDS).isNotNull()
+        )
+        return F.when(opens, F.array(chosen))
+
+    def decide(seen: Column) -> Column:
+        record = seen["done"] | (seen["fields"].isNotNull() & seen["nested"].isNull())
+        parts = F.coalesce(seen["items"], seen["nested"], F.array().cast(ITEMS))
+        return F.struct(
+            record.alias("done"),
+            F.when(record, F.array(seen["v"])).otherwise(parts).alias("parts"),
+        )
+
+    def fields_of(v: Column) -> Column:
+        return F.struct(
+            v["v"].alias("v"), v["done"].alias("done"),
+            F.try_variant_get(v["v"], "$", ITEMS).alias("items"),
+            F.try_variant_get(v["v"], "$", FIELDS).alias("fields"),
+        )
+
+    def with_nested(s: Column) -> Column:
+        chosen = F.coalesce(*[F.try_element_at(s["fields"], F.lit(k))
+                              for k in fixed.CONTAINER_KEYS])
+        return F.struct(
+            s["v"].alias("v"), s["done"].alias("done"), s["items"].alias("items"),
+            s["fields"].alias("fields"), let(chosen, nested).alias("nested"),
+        )
+
+    start = F.struct(value.alias("v"), done.alias("done"))
+    return let(let(let(start, fields_of), with_nested), decide)
+
+
+def _looked_at(level: DataFrame, key: Sequence[str]) -> DataFrame:
+    return level.select(*key, "v", "path", _look(F.col("v"), F.col("done")).alias("look"))
 
 
 def _open_once(level: DataFrame, key: Sequence[str]) -> DataFrame:
-    value = F.col("v")
-    nested, is_object = _container(value)
-    listed = F.try_variant_get(value, "$", ITEMS)
-    complete = F.col("done") | (is_object & nested.isNull())
-    parts = (
-        F.when(complete, F.array(value))
-        .when(listed.isNotNull(), listed)
-        .when(nested.isNotNull(), F.array(nested))
-        .otherwise(F.array().cast(ITEMS))
-    )
-    step = level.select(
-        *key, "path", complete.alias("done"), parts.alias("parts")
-    ).select(*key, "path", "done", F.posexplode("parts").alias("pos", "v"))
-    return step.select(
-        *key, "v", F.concat("path", F.array("pos")).alias("path"), "done"
+    step = _looked_at(level, key).select(
+        *key, "path", F.col("look.done").alias("done"),
+        F.posexplode("look.parts").alias("pos", "v"),
     )
+    return step.select(*key, "v", F.concat("path", F.array("pos")).alias("path"), "done")
 
 
 REGISTRY: dict[str, Callable[..., Mapped]] = {

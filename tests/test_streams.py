@@ -31,6 +31,6 @@ def test_captures_count_again_after_eviction(spark):
     df.coalesce(1).write.parquet(path)
     stream = file_stream(spark, path, df.schema)
     got = to_files(accepted_captures(stream, max_payloads=2), "accepted")
-    assert [r.fingerprint for r in got.orderBy("seq").collect()] == list("12313")[:0] + [
+    assert [r.fingerprint for r in got.orderBy("seq").collect()] == [
         "1", "2", "3", "1"]
     assert got.agg(F.max("seq")).first()[0] == 5
