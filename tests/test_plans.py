@@ -11,7 +11,7 @@ from rollcall.storage import work_path
 from rollcall.streaming.ingest import OBSERVED, Tables, ingest_batch
 
 START = dt.datetime(2026, 1, 1)
-ROW = "| Acme | Intern | {place} | [x](https://jobs.test/1) | d |"
+ROW = "| Acme | Intern | {place} | [x](HTTPS://Jobs.test:443?a=B) | d |"
 
 
 def commit(spark, n, patch):
@@ -34,6 +34,7 @@ def test_commit_lifecycle(spark):
     assert states == ["NEW_ROLE", "NO_OP", "ROLE_UPDATED", "ROLE_CLOSED"]
     final = ingest.to_persist(result).collect()
     assert len(final) == 1 and final[0].is_closed and final[0].location == "There"
+    assert final[0].apply_url == "https://jobs.test/?a=B"
     assert result.rejected.count() == 0
 
 
