@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.llm.decontaminate import contamination
 from rollcall.llm.near_dedup import near_groups
+from rollcall.llm.quality import quality
+from rollcall.llm.token_counts import token_counts
+from rollcall.llm.token_files import read_tokens, token_digests, write_tokens
+from rollcall.llm.warc import read_archives, write_archives
 from rollcall.llm.work import documents
+from rollcall.storage import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +27,43 @@ def query(name: str):
     return add
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed public tokenizer files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), shingle=4, percent=80)
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), width=10)
+    return found.drop("hits", "items")
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = work_path(spark, "tokens")
+    write_tokens(documents(spark, sf_dir), out, vocabulary("byte_bpe_50k.json"))
+    return token_digests(read_tokens(spark, out))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), limit=2048)
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query("op2_warc")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "warc")
+    files = write_archives(documents(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder, files)
