@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm.decontaminate import contamination
+from rollcall.llm.licenses import license_scan
 from rollcall.llm.near_dedup import near_groups
 from rollcall.llm.quality import quality
 from rollcall.llm.token_counts import token_counts
 from rollcall.llm.token_files import read_tokens, token_digests, write_tokens
+from rollcall.llm.toxicity import toxicity
 from rollcall.llm.warc import read_archives, write_archives
 from rollcall.llm.work import documents
 from rollcall.storage import work_path
@@ -45,6 +47,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hits", "items")
 
 
+@query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, "tokens")
@@ -52,6 +59,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_tokens(spark, out))
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), limit=2048)
