@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rollcall.llm.decontaminate import contamination
 from rollcall.llm.licenses import license_scan
 from rollcall.llm.near_dedup import near_groups
+from rollcall.llm.passages import shared_passages
 from rollcall.llm.quality import quality
 from rollcall.llm.token_counts import token_counts
 from rollcall.llm.token_files import read_tokens, token_digests, write_tokens
@@ -41,6 +42,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), shingle=4, percent=80)
 
 
+@query("op3_passages")
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(documents(spark, sf_dir))
+
+
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), width=10)
