@@ -11,6 +11,7 @@ from rollcall.llm.licenses import license_scan
 from rollcall.llm.near_dedup import near_groups
 from rollcall.llm.passages import shared_passages
 from rollcall.llm.quality import quality
+from rollcall.llm.segment import sampled_segmentations
 from rollcall.llm.token_counts import token_counts
 from rollcall.llm.token_files import read_tokens, token_digests, write_tokens
 from rollcall.llm.toxicity import toxicity
@@ -18,6 +19,7 @@ from rollcall.llm.warc import read_archives, write_archives
 from rollcall.llm.work import documents
 from rollcall.storage import work_path
 
+SEGMENTATIONS = 3  # sampled for each text
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -65,6 +67,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_tokens(spark, out))
 
 
+@query("op7_segmentations")
+def op7_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_segmentations(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), k=SEGMENTATIONS, digest=True)
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
