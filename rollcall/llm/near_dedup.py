@@ -10,9 +10,14 @@ Bands of ``rows`` coordinates propose candidates; a link is decided on full sets
 of 4 a pair at 0.8 is missed with probability (1 - 0.8^4)^32 < 5e-8.
 
 Copies count once: documents of equal sets form a class (128-bit digest), and only its smallest id goes on.
-Pairs of a bucket are not expanded. Rounds of star links (each class of a bucket against one leader,
-the leader drawn by a salted order) join nearly all of a bucket; then only pairs of a bucket that are in
-different components are left, and all of them are verified. So no link is lost that could join components.
+
+Pairs of a bucket are not expanded. Each bucket gets a pivot, a class that meets many others, and every class
+of the bucket is compared with it on full sets. With D(i) the symmetric difference of class i and pivot, and
+F(i) = den |D(i)| - num n(i) for a threshold num / den on the symmetric difference, classes i and j are linked if and
+only if F(i) + F(j) <= 2 den |D(i) & D(j)|. So all links that need no common element of D join what the
+class of smallest F joins: a star. Any other link has an end outside that star, which makes the common
+part large, and a prefix filter on D (rarest elements first) finds it. Random edits of one text share few
+elements, so this stays near linear where the members of a bucket are similar but not linked.
 """
 
 from __future__ import annotations
@@ -21,14 +26,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rollcall.llm.components import components
 from rollcall.llm.vec import ALNUM, BLANK, U, blocks, gram_hash, mix, signed
 from rollcall.llm.work import fresh, id_text, written
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-STARS = 2
 
 
 def row_sets(words, shingle: int):
@@ -109,16 +113,62 @@ def _sets(batches, shingle: int, table):
                 names=["rep", "elements"])
 
 
-def _verify(batches, percent: int):
-    """Keep the pairs whose sets overlap by ``percent`` of their union at least."""
-    for batch in batches:
-        a, b = batch.column("xs"), batch.column("ys")
-        keep = []
-        for i in range(batch.num_rows):
-            x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """(c, i): each class with the pivot of each of its buckets, once. ``buckets`` has band and rep.
+
+    A class scores the sizes of its buckets. A bucket's own leader is its best class; its pivot is the best leader
+    that any of its classes has in any bucket, so that the buckets of one group agree on few pivots.
+    """
+    size = buckets.groupBy("band").agg(F.count("*").alias("m"))
+    score = buckets.join(size, "band").groupBy("rep").agg(F.sum("m").alias("s"))
+    named = buckets.join(score, "rep").select("band", "rep", F.struct("s", (-F.col("rep")).alias("minus")).alias("best"))
+    leader = named.groupBy("band").agg(F.max("best").alias("lead"))
+    first = named.join(leader, "band").groupBy("rep").agg(F.max("lead").alias("lead"))
+    pivot = buckets.join(first, "rep").groupBy("band").agg(F.max("lead").alias("lead"))
+    return buckets.join(pivot, "band").select((-F.col("lead.minus")).alias("c"), F.col("rep").alias("i")) \
+        .where("c <> i").distinct()
+
+
+def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) pairs that join all linked classes among those that share a pivot; each is a link.
+
+    ``pairs`` has (c, i), ``sets`` has (rep, elements).
+    """
+    num, den = 100 - percent, 100 + percent
+    xs = sets.select(F.col("rep").alias("c"), F.col("elements").alias("xs"))
+    ys = sets.select(F.col("rep").alias("i"), F.col("elements").alias("ys"))
+    apart = F.concat(F.array_except("xs", "ys"), F.array_except("ys", "xs"))
+    own = pairs.join(ys, "i").join(xs, "c").select(
+        "c", "i", apart.alias("d"), F.xxhash64("c", "xs", "ys").alias("k"), F.size("ys").alias("n"),
+        (den * F.size(apart) - num * F.size("ys")).cast("long").alias("f"), (-num * F.size("xs")).cast("long").alias("fc"))
+    own = written(own, "apart")
+    group = own.groupBy("c").agg(
+        F.least(F.min(F.struct("f", "i")), F.min(F.struct(F.col("fc").alias("f"), F.col("c").alias("i")))).alias("m"),
+        F.max("f").alias("most"), F.count("*").alias("members"))
+    rows = own.join(group, "c").withColumn("fm", F.col("m.f"))
+    star = rows.where("f + fm <= 0 AND i <> m.i").select(F.col("i").alias("u"), F.col("m.i").alias("v"))
+    to_pivot = rows.where("fc + fm <= 0 AND c <> m.i").select(F.col("c").alias("u"), F.col("m.i").alias("v")).distinct()
+
+    open_ = rows.where("members > 1 AND most + fm > 0 AND size(d) > 0") \
+        .select("c", "i", "k", "n", "f", "fm", "d", F.size("d").alias("s"))
+    each = open_.select("c", "i", "k", "n", "f", "fm", "s", F.explode("d").alias("e"))
+    often = each.groupBy("c", "e").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = each.join(often, ["c", "e"], "left")  # elements of one class rank first and match nothing
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.coalesce("often", F.lit(1)), "e"))
+    # a link to a class outside the star shares more than (f - fm) / (2 den) elements
+    need = F.greatest(F.floor((F.col("f") - F.col("fm")) / (2 * den)) + 1, F.lit(1))
+    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("s") - need + 1).where("often IS NOT NULL") \
+        .select("c", "e", F.col("i").alias("j"), F.col("k").alias("kj"), F.col("n").alias("nj"), F.col("f").alias("fj"),
+                F.col("s").alias("sj"))
+    probe = ranked.where("f + fm > 0 AND often IS NOT NULL").select("c", "e", "i", "k", "n", "f", "s", "fm")
+    may = (f"i <> j AND f + fj <= {2 * den} * least(s, sj) AND 100 * least(n, nj) >= {percent} * greatest(n, nj) "
+           "AND (fj + fm <= 0 OR k < kj)")
+    near = probe.join(prefix, ["c", "e"]).where(may).select("k", "kj").distinct()
+    left = own.select("k", F.col("i").alias("u"), F.col("f").alias("fu"), F.col("d").alias("du"))
+    right = own.select(F.col("k").alias("kj"), F.col("i").alias("v"), F.col("f").alias("fv"), F.col("d").alias("dv"))
+    checked = near.join(left, "k").join(right, "kj") \
+        .where(F.col("fu") + F.col("fv") <= 2 * den * F.size(F.array_intersect("du", "dv"))).select("u", "v")
+    return star.unionAll(to_pivot).unionAll(checked)
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 128,
@@ -126,9 +176,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinate
                 text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
-    A row's set holds its distinct word shingles, or its whole word sequence if it is shorter. A null or
-    wordless text has an empty set and is linked with nothing. Rows of equal id and equal set are
-    one node and are all returned. A row with a null id is returned, unlinked, with component null
+    A row's set holds its distinct lower-case (A-Z) word shingles, or its whole word sequence if it is shorter. A null or
+    wordless text has an empty set and is linked with nothing. Rows of equal id are
+    one node, linked where any of their sets is, and are all returned. A row with a null id is returned, unlinked, with component null
     and kept true. An empty table gives no rows. Other columns are not read.
     """
     table = BLANK if words == "blank" else ALNUM
@@ -141,8 +191,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinate
                         F.expr("doc_id = rep") & (filled.d1 == classes.d1) & (filled.d2 == classes.d2),
                         "left_semi")
     # a rep is written once per band; repeated rows of one id collapse here
-    keys = first.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"),
-                        F.explode("bands").alias("band"))
+    keys = first.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     crowded = keys.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     buckets = written(keys.join(crowded.select("band"), "band").distinct(), "buckets")
 
@@ -153,41 +202,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinate
         .mapInArrow(partial(_sets, shingle=shingle, table=table), "rep long, elements array<long>")
         .where("elements IS NOT NULL").distinct(), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        fits = pairs.where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)") \
-            .select("u", "v").distinct()
-        xs = sets.select(F.col("rep").alias("u"), F.col("elements").alias("xs"))
-        ys = sets.select(F.col("rep").alias("v"), F.col("elements").alias("ys"))
-        full = fits.join(xs, "u").join(ys, "v").select("u", "v", "xs", "ys")
-        return full.mapInArrow(partial(_verify, percent=percent), "u long, v long")
-
-    def labelled(links: DataFrame) -> DataFrame:
-        return buckets.join(links.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left") \
-            .select("band", "rep", "n", F.coalesce("c", "rep").alias("c"))
-
-    def split(now: DataFrame) -> DataFrame:
-        """The rows of buckets that still hold several components."""
-        mixed = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        return now.join(mixed.select("band"), "band")
-
-    now, links = buckets.withColumn("c", F.col("rep")), None
-    for star in range(STARS):
-        order = F.struct(F.xxhash64("rep", F.lit(star)) if star else F.col("rep"), F.col("rep"))
-        leader = now.groupBy("band").agg(F.min(F.struct(order.alias("o"), "rep", "n", "c")).alias("l")) \
-            .select("band", F.col("l.rep").alias("lead"), F.col("l.n").alias("ln"), F.col("l.c").alias("lc"))
-        pairs = now.join(leader, "band").where("c <> lc").select(
-            F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v"),
-            F.when(F.col("rep") < F.col("lead"), F.col("n")).otherwise(F.col("ln")).alias("nu"),
-            F.when(F.col("rep") < F.col("lead"), F.col("ln")).otherwise(F.col("n")).alias("nv"))
-        found = verified(pairs)
-        links = components(found if links is None else links.unionAll(found))
-        now = written(split(labelled(links)), "mixed")
-    a, b = (now.select("band", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"))
-            for x in "uv")
-    rest = a.join(b, "band").where(f"u < v AND cu <> cv AND 100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
-    links = components(links.unionAll(verified(rest)))
-
-    named = classes.join(links.select(F.col("u").alias("rep"), "v"), "rep", "left").select(
+    joined = components(links(star_pairs(buckets), sets, percent))
+
+    named = classes.join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left").select(
         "d1", "d2", F.col("n_shingles").alias("n"), F.coalesce("v", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(
         named, (sketch.d1 == named.d1) & (sketch.d2 == named.d2) & (sketch.n_shingles == named.n), "left")
