@@ -123,9 +123,9 @@ def calibrate(raw: np.ndarray, target: np.ndarray, steps: int = 50) -> tuple[flo
 
 
 def _train(batches, lower: bool):
-    table = pa.Table.from_batches(list(batches))
-    if table.num_rows:
-        table = table.sort_by("doc_id")
+    given = [b for b in batches if b.num_rows]
+    if given:
+        table = pa.Table.from_batches(given).sort_by("doc_id")
         y = table.column("target").to_numpy().astype(float)
         texts = table.column("text").combine_chunks()
         held = np.arange(len(y)) % 4 == 3

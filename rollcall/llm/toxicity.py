@@ -131,10 +131,10 @@ def _sparse_fit(row, col, n, m, target, steps: int = 200, rate: float = 0.1, shr
 
 
 def _fit(batches):
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    given = [b for b in batches if b.num_rows]
+    if not given:
         return
-    table = table.sort_by("doc_id")
+    table = pa.Table.from_batches(given).sort_by("doc_id")
     y, texts = table.column("target").to_numpy().astype(float), table.column("text").combine_chunks()
     n = len(y)
     row, h = _presence(texts)
