@@ -102,7 +102,7 @@ class _Writer:
     def add(self, data: bytes) -> None:
         if self.out is None:
             self.names.append(f"{uuid.uuid4().hex}.warc.zst")
-            self.out = self.fs.open_output_stream(f"{self.path}/{self.names[-1]}")
+            self.out = self.fs.open_output_stream(f"{self.path}/{self.names[-1]}", compression=None)
             self.out.write(struct.pack("<II", SKIPPABLE, len(self.raw)) + self.raw)
         self.out.write(self.codec.compress(data))
         if self.out.tell() >= self.roll:
@@ -127,7 +127,7 @@ def _write(batches, folder: str, dictionary: bytes, level: int, roll: int):
 
 def records(fs, path: str):
     """(parsed record, stored bytes) of an archive, one frame at a time."""
-    with fs.open_input_stream(path) as source:
+    with fs.open_input_stream(path, compression=None) as source:
         head = source.read(8)
         magic, size = struct.unpack("<II", head)
         if magic != SKIPPABLE:
