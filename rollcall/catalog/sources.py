@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollcall import schemas
@@ -120,15 +121,39 @@ def portal_documents(spark, sf):
                                                shape.alias("body"))
 
 
+def nested_documents(spark, sf):
+    """Portal documents inside up to eight more lists, and some texts that are not JSON."""
+    docs = portal_documents(spark, sf)
+    depth = (F.col("doc") % 9).cast("int")
+    body = F.concat(F.repeat(F.lit("["), depth), "body", F.repeat(F.lit("]"), depth))
+    return docs.withColumn("body", F.when(F.col("doc") % 11 == 0, F.lit('{"jobs": [')).otherwise(body))
+
+
 @query("flatten_envelope", """
-SELECT c_custkey AS doc, 'record' AS kind FROM customer
-UNION ALL SELECT c_custkey, 'untitled' FROM customer""")
+SELECT c_custkey AS doc, 1::BIGINT AS place, 'record' AS kind, c_custkey::VARCHAR AS job_id,
+  c_name AS title, 'N' || c_nationkey AS city, NULL::VARCHAR AS reason FROM customer
+WHERE c_custkey % 11 <> 0
+UNION ALL SELECT c_custkey, 2, 'untitled', c_custkey::VARCHAR, NULL, NULL, NULL FROM customer
+WHERE c_custkey % 11 <> 0
+UNION ALL SELECT c_custkey, 0, 'reject', NULL, NULL, NULL, 'not valid JSON' FROM customer
+WHERE c_custkey % 11 = 0""")
 def flatten_envelope(spark, sf):
-    good, _ = records.flatten_envelopes(portal_documents(spark, sf))
-    title = F.try_variant_get("record", "$.job_title", "string")
+    good, left = records.flatten_envelopes(nested_documents(spark, sf))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("path")).cast("bigint")
+    none = F.lit(None).cast("string")
+
+    def at(path):
+        return F.try_variant_get("record", path, "string")
+
     return good.select(
-        "doc", F.when(title.isNotNull(), "record").otherwise("untitled").alias("kind")
-    )
+        "doc", place.alias("place"),
+        F.when(at("$.job_title").isNotNull(), "record").otherwise("untitled").alias("kind"),
+        at("$.jobId").alias("job_id"), at("$.job_title").alias("title"),
+        at("$.locations[0].city").alias("city"), none.alias("reason"),
+    ).unionByName(left.select(
+        "doc", F.lit(0).cast("bigint").alias("place"), F.lit("reject").alias("kind"),
+        none.alias("job_id"), none.alias("title"), none.alias("city"), "reason",
+    ))
 
 
 @query("portal_json", """

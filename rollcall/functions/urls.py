@@ -44,7 +44,7 @@ def with_parts(url: Column, body: Callable[[Parts], Column]) -> Column:
         return F.struct(
             F.regexp_extract(p["netloc"], _AUTHORITY, 1).alias("userinfo"),
             F.lower(F.regexp_extract(p["netloc"], _AUTHORITY, 2)).alias("host"),
-            F.substring(F.regexp_extract(p["netloc"], _AUTHORITY, 3), 2, 1_000_000).alias("port"),
+            F.substr(F.regexp_extract(p["netloc"], _AUTHORITY, 3), F.lit(2)).alias("port"),
             ((p["netloc"] != "") & ~p["netloc"].rlike(_AUTHORITY)).alias("bad_authority"),
         )
 
@@ -138,7 +138,7 @@ def redact_query(
 
     def build(p: Parts) -> Column:
         items = F.filter(
-            F.split(F.substring(p.query, 2, 1_000_000_000), "&"), lambda i: i != ""
+            F.split(F.substr(p.query, F.lit(2)), "&"), lambda i: i != ""
         )
         query = F.nullif(F.array_join(F.transform(items, pair), "&"), F.lit(""))
         shown = F.coalesce(F.concat(F.lit("?"), query), F.lit(""))

@@ -26,7 +26,7 @@ def stale_closed(
     postings: DataFrame, now: Column, stale_hours: float, *, closed: str = "is_closed",
     updated: str = "updated_at",
 ) -> DataFrame:
-    cutoff = now - F.make_dt_interval(hours=F.lit(int(stale_hours)))
+    cutoff = now - F.make_dt_interval(secs=F.lit(float(stale_hours) * 3600))
     return postings.where(F.col(closed) & (F.col(updated) < cutoff))
 
 

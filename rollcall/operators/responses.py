@@ -48,11 +48,7 @@ def capture(
 def fingerprint_dedupe(
     captured: DataFrame, *, page: str = "page_key", order: str = "seq"
 ) -> DataFrame:
-    """First capture per page and fingerprint over the whole log.
-
-    ``streaming.captures`` has the form in which a fingerprint counts again after its capture
-    left the bounded buffer.
-    """
+    """First capture per page and fingerprint over the whole log."""
     return keep_first(captured, [page, "fingerprint"], [F.col(order)])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall import fixed_values as fixed
+from rollcall.functions.envelopes import open_envelope
 from rollcall.functions.text import casefold, col, collapse, let, strip
 from rollcall.functions.urls import is_http_url, join_url
 
@@ -273,81 +274,25 @@ def portal(
 
 
 def flatten_envelopes(
-    documents: DataFrame, *, body: str = "body", key: Sequence[str] = ("doc",), depth: int = 6
+    documents: DataFrame, *, body: str = "body", key: Sequence[str] = ("doc",)
 ) -> tuple[DataFrame, DataFrame]:
-    """Records inside nested lists and containers, in document order.
+    """Records inside nested lists and containers, in document order, at any depth.
 
-    One step opens a list, or replaces an object by its first container key that is present.
-    ``path`` orders the records of a document. Steps are plain ``posexplode`` projections
-    without a shuffle. Values still nested after ``depth`` steps are returned as rejects.
+    A list opens into its items; an object is replaced by its first container key that is present if
+    that holds a list or an object, and is a record otherwise. ``path`` orders the records of a
+    document. A document is one cell, so one pass over its text finds the records, without a shuffle.
+    Documents that are not JSON are returned as rejects.
     """
-    level = documents.select(
-        *key, F.try_parse_json(body).alias("v"), F.array().cast("array<int>").alias("path"),
-        F.lit(False).alias("done"),
-    ).where("v IS NOT NULL")
-    for _ in range(depth):
-        level = _open_once(level, key)
-    # One more look tells the records the last step reached from values that are still nested.
-    final = _looked_at(level, key)
-    good = final.where("look.done").select(*key, "path", F.col("v").alias("record"))
-    left = final.where("NOT look.done AND size(look.parts) > 0").select(
-        *key, "path", F.to_json("v").alias("body"), F.lit("nested too deeply").alias("reason")
+    read = documents.select(*key, F.col(body).alias("body"))
+    good = read.where(F.try_parse_json("body").isNotNull()) \
+        .select(*key, F.inline(open_envelope("body"))) \
+        .select(*key, "path", F.parse_json("record").alias("record"))
+    left = read.where(F.try_parse_json("body").isNull()).select(
+        *key, F.array().cast("array<int>").alias("path"), "body", F.lit("not valid JSON").alias("reason")
     )
     return good, left
 
 
-FIELDS = "map<string,variant>"
-
-
-def _look(value: Column, done: Column) -> Column:
-    """(is it a record, the values that replace it); scalars have neither."""
-
-    def nested(chosen: Column) -> Column:
-        opens = (
-            F.try_variant_get(chosen, "$", ITEMS).isNotNull()
-            | F.try_variant_get(chosen, "$", FIELDS).isNotNull()
-        )
-        return F.when(opens, F.array(chosen))
-
-    def decide(seen: Column) -> Column:
-        record = seen["done"] | (seen["fields"].isNotNull() & seen["nested"].isNull())
-        parts = F.coalesce(seen["items"], seen["nested"], F.array().cast(ITEMS))
-        return F.struct(
-            record.alias("done"),
-            F.when(record, F.array(seen["v"])).otherwise(parts).alias("parts"),
-        )
-
-    def fields_of(v: Column) -> Column:
-        return F.struct(
-            v["v"].alias("v"), v["done"].alias("done"),
-            F.try_variant_get(v["v"], "$", ITEMS).alias("items"),
-            F.try_variant_get(v["v"], "$", FIELDS).alias("fields"),
-        )
-
-    def with_nested(s: Column) -> Column:
-        chosen = F.coalesce(*[F.try_element_at(s["fields"], F.lit(k))
-                              for k in fixed.CONTAINER_KEYS])
-        return F.struct(
-            s["v"].alias("v"), s["done"].alias("done"), s["items"].alias("items"),
-            s["fields"].alias("fields"), let(chosen, nested).alias("nested"),
-        )
-
-    start = F.struct(value.alias("v"), done.alias("done"))
-    return let(let(let(start, fields_of), with_nested), decide)
-
-
-def _looked_at(level: DataFrame, key: Sequence[str]) -> DataFrame:
-    return level.select(*key, "v", "path", _look(F.col("v"), F.col("done")).alias("look"))
-
-
-def _open_once(level: DataFrame, key: Sequence[str]) -> DataFrame:
-    step = _looked_at(level, key).select(
-        *key, "path", F.col("look.done").alias("done"),
-        F.posexplode("look.parts").alias("pos", "v"),
-    )
-    return step.select(*key, "v", F.concat("path", F.array("pos")).alias("path"), "done")
-
-
 REGISTRY: dict[str, Callable[..., Mapped]] = {
     fixed.BOARD_A: board_a,
     fixed.BOARD_B: board_b,

@@ -1,25 +1,20 @@
 """Change classification of streams.
 
 ``classify_stream`` orders each micro-batch by (ts, ordinal) and keeps its state in a keyed
-table; it uses the batch operator, so a hot key is cut into chunks. ``classify_arrivals`` keeps
-its state in Spark's state store and takes rows as they arrive, one at a time.
+table; it uses the batch operator, so a hot key is cut into chunks. A stream that is started again on
+the same folder goes on where it stopped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
 
 from rollcall import fixed_values as fixed
-from rollcall.operators.classify import check_ttl, classify_batch, latest_state, micros
-from rollcall.plans.ingest import written
+from rollcall.operators.classify import check_ttl, classify_batch, latest_state
 from rollcall.plans.store import BatchTable, KeyedTable
-from rollcall.storage import work_path
-from rollcall.streaming.run import ROCKSDB, start
+from rollcall.streaming.run import own_checkpoint, rewritten, start
 
 
 def classify_stream(
@@ -27,7 +22,11 @@ def classify_stream(
     ts: str, ordinal: str, ttl_seconds: int = fixed.DEFAULT_TTL_SECONDS,
     checkpoint: str | None = None, every: str | None = None,
 ):
-    """Start the stream. ``out`` receives classified rows and the state, per batch number."""
+    """Start the stream. ``out`` receives classified rows and the state, per batch number.
+
+    The checkpoint is kept below ``out`` unless it is given.
+    """
+    check_ttl(ttl_seconds)
     spark = observations.sparkSession
     kinds = {f.name: f.dataType.simpleString() for f in observations.schema.fields}
     schema = ", ".join(
@@ -41,7 +40,7 @@ def classify_stream(
 
     def one_batch(rows: DataFrame, number: int) -> None:
         # Written once: the batch is scanned for its keys, its order and its last states.
-        batch = written(rows, "batch")
+        batch = rewritten(rows, f"{out}/work/batch")
         known = state.read(before=number, only=batch)
         result.write(number, classify_batch(
             known, batch, closed=closed, ttl_seconds=ttl_seconds, **options
@@ -49,68 +48,4 @@ def classify_stream(
         state.write(number, latest_state(batch, **options))
 
     writer = observations.writeStream.foreachBatch(one_batch)
-    return start(writer, checkpoint or work_path(spark, "checkpoint"), every=every), result
-
-
-class _Arrivals(StatefulProcessor):
-    """Keeps (content, time) of the last arrival per key."""
-
-    def __init__(self, ttl_seconds: int, states: Sequence[str], evict: bool):
-        self.ttl = ttl_seconds * 1_000_000
-        self.evict = evict
-        self.states = tuple(states)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([
-            T.StructField("content", T.StringType()), T.StructField("at", T.LongType()),
-        ])
-        # Expiry is decided in event time; the store drops entries long after that.
-        keep = {"ttlDurationMs": self.ttl // 1000 * 2} if self.evict else {}
-        self.last = handle.getValueState("last", schema, **keep)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new, updated, closed, same = self.states
-        known = self.last.get() if self.last.exists() else None
-        for row in rows:
-            if known is None or row.at - known[1] >= self.ttl:
-                state = new
-            elif known[0] == row.content:
-                state = same
-            else:
-                state = closed if row.is_closed else updated
-            known = (row.content, row.at)
-            yield Row(key=key[0], ordinal=row.ordinal, state=state)
-        self.last.update(known)
-
-    def close(self) -> None:
-        pass
-
-
-def classify_arrivals(
-    observations: DataFrame, *, keys: Sequence[str], content: str, closed: str, ts: str,
-    ordinal: str, ttl_seconds: int = fixed.DEFAULT_TTL_SECONDS, evict: bool = False,
-) -> DataFrame:
-    """States as (key, ordinal, state), in the order in which rows arrive at the state store.
-
-    ``evict`` lets the store drop entries of keys that stay silent. Such a stream keeps starting
-    batches to look for them, so use it with polling, not with a single run.
-    """
-    check_ttl(ttl_seconds)
-    observations.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass", ROCKSDB
-    )
-    rows = observations.select(
-        F.concat_ws("\u0000", *[F.col(k).cast("string") for k in keys]).alias("key"),
-        F.col(content).cast("string").alias("content"),
-        F.col(closed).alias("is_closed"),
-        micros(ts).alias("at"),
-        F.col(ordinal).cast("bigint").alias("ordinal"),
-    )
-    out = T.StructType([
-        T.StructField("key", T.StringType()), T.StructField("ordinal", T.LongType()),
-        T.StructField("state", T.StringType()),
-    ])
-    return rows.groupBy("key").transformWithState(
-        _Arrivals(ttl_seconds, fixed.STATES, evict), out, "Append",
-        "ProcessingTime" if evict else "None",
-    )
+    return start(writer, own_checkpoint(result, out, checkpoint), every=every), result

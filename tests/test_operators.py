@@ -1,7 +1,9 @@
-"""Operators against sequential models, with hot keys cut into chunks, and reference cases."""
+"""Operators against sequential models, with hot keys cut into chunks, and cases of their own."""
 
 import datetime as dt
+import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,22 +83,21 @@ def test_expiry_is_inclusive_and_settings_are_checked(spark):
 
 
 def coalesce_model(lines):
-    out, held = [], []
-    for n, kind, content in lines:
-        low = content.lower()
-        if held and kind != held[0][1]:
-            out += [(h[0], h[1], h[2]) for h in held]
-            held = []
-        if held:
-            held.append((n, kind, content))
-            if "</tr>" in low:
-                out.append((held[0][0], kind, "\n".join(h[2] for h in held)))
-                held = []
-        elif ("<tr" in low or "<td" in low) and "</tr>" not in low:
-            held = [(n, kind, content)]
-        else:
-            out.append((n, kind, content))
-    return out + held
+    """Runs of one kind; in a run an opening line and all up to the next row end become one line."""
+    out = []
+    for _, run in itertools.groupby(lines, key=lambda line: line[1]):
+        run = list(run)
+        while run:
+            first, last = run[0][2].lower(), 1
+            if re.search("<t[rd]", first) and "</tr>" not in first:
+                ends = [i for i, line in enumerate(run) if "</tr>" in line[2].lower()]
+                if not ends:  # an open row stays as its lines
+                    out += run
+                    break
+                last = ends[0] + 1
+            out.append((*run[0][:2], "\n".join(line[2] for line in run[:last])))
+            run = run[last:]
+    return out
 
 
 def test_coalesce_matches_the_sequential_rule(spark):
@@ -114,15 +115,13 @@ def test_coalesce_matches_the_sequential_rule(spark):
 
 
 def test_diff_lines(spark):
-    patch = "+++ b/x\n--- a/x\r\n@@ -1 +1 @@\n ctx\n-old row\n+new row\n+\n-\n\\ No newline\n" \
-            "+++actual plus\n---actual minus\n++++header-like"
+    patch = "--- old.md\n+++ new.md\n@@ -3,2 +3,3 @@ head\n kept\n-gone\r\n+| a |\n+\n-\n+++two\n---three\n\\ No newline at end"
     df = spark.createDataFrame(
-        [("README.md", patch), ("jobs.md", "+x"), ("a/readme.MDX", None)],
+        [("README.md", patch), ("other.md", "+x"), ("docs/readme.MDX", None)],
         "filename string, patch string")
     rows = extract.diff_lines(df).orderBy("line_no").collect()
-    assert [r.content for r in rows if r.kind == "added"] == [
-        "new row", "", "++actual plus", "+++header-like"]
-    assert [r.content for r in rows if r.kind == "removed"] == ["old row", "", "--actual minus"]
+    assert [r.content for r in rows if r.kind == "added"] == ["| a |", "", "++two"]
+    assert [r.content for r in rows if r.kind == "removed"] == ["gone", "", "--three"]
 
 
 def test_continuation(spark):

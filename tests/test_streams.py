@@ -1,36 +1,37 @@
-"""Stateful streams against their batch forms."""
+"""Streams that stop and start again give what the batch gives."""
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollcall.catalog.changes import LOG, SIX_HOURS, observations
-from rollcall.catalog.streams import observed_stream
 from rollcall.operators.classify import classify
 from rollcall.storage import work_path
-from rollcall.streaming.captures import accepted_captures
-from rollcall.streaming.classify import classify_arrivals
-from rollcall.streaming.run import file_stream, to_files
+from rollcall.streaming.classify import classify_stream
+from rollcall.streaming.run import file_stream
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_arrivals_equal_the_batch(spark):
-    stream = classify_arrivals(
-        observed_stream(spark, SF), keys=["user_id"], content="event_type",
-        closed="is_closed", ts="ts", ordinal="event_id", ttl_seconds=SIX_HOURS)
-    got = to_files(stream, "arrivals")
-    want = classify(observations(spark, SF), ttl_seconds=SIX_HOURS, **LOG)
-    a = {(r.ordinal, r.state) for r in got.collect()}
-    assert a == {(r.event_id, r.state) for r in want.collect()}
+def test_a_stream_goes_on_where_it_stopped(spark):
+    path, out = work_path(spark, "landing"), work_path(spark, "stream")
+    rows = observations(spark, SF)
+    schema = rows.schema
+    ordered = rows.withColumn("part", F.ntile(3).over(Window.orderBy("ts", "event_id")))
 
+    def run(checkpoint=None):
+        options = {k: v for k, v in LOG.items()}
+        query, result = classify_stream(
+            file_stream(spark, path, schema), out, ttl_seconds=SIX_HOURS, checkpoint=checkpoint, **options)
+        query.awaitTermination()
+        return result.read()
 
-def test_captures_count_again_after_eviction(spark):
-    path = work_path(spark, "captures")
-    rows = [("p", i, f, 1) for i, f in enumerate("1123213")]
-    df = spark.createDataFrame(
-        rows, "page_key string, seq bigint, fingerprint string, estimated_bytes bigint")
-    df.coalesce(1).write.parquet(path)
-    stream = file_stream(spark, path, df.schema)
-    got = to_files(accepted_captures(stream, max_payloads=2), "accepted")
-    assert [r.fingerprint for r in got.orderBy("seq").collect()] == [
-        "1", "2", "3", "1"]
-    assert got.agg(F.max("seq")).first()[0] == 5
+    for part in (1, 2, 3):
+        ordered.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+        got = run()
+    want = classify(rows, ttl_seconds=SIX_HOURS, **LOG)
+    assert {(r.event_id, r.state) for r in got.collect()} == {(r.event_id, r.state) for r in want.collect()}
+    assert got.count() == want.count() and got.select("batch").distinct().count() == 3
+    assert run().count() == want.count()
+    with pytest.raises(ValueError):
+        run(checkpoint=work_path(spark, "fresh"))
