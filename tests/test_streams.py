@@ -20,9 +20,9 @@ def test_a_stream_goes_on_where_it_stopped(spark):
     ordered = rows.withColumn("part", F.ntile(3).over(Window.orderBy("ts", "event_id")))
 
     def run(checkpoint=None):
-        options = {k: v for k, v in LOG.items()}
         query, result = classify_stream(
-            file_stream(spark, path, schema), out, ttl_seconds=SIX_HOURS, checkpoint=checkpoint, **options)
+            file_stream(spark, path, schema), out, keys=["user_id"], content="event_type", closed="is_closed",
+            ts="ts", ordinal="event_id", ttl_seconds=SIX_HOURS, checkpoint=checkpoint)
         query.awaitTermination()
         return result.read()
 
