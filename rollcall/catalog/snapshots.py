@@ -232,10 +232,7 @@ SELECT event_id, CASE WHEN value < 3 THEN 'not JSON'
   WHEN event_type = 'error' THEN 'occurred_at needs a zone'
   WHEN event_id = 0 THEN 'job id must be positive' END AS reason FROM events""")
 def event_validate(spark, sf):
-    good, bad = events.check_events(messages(spark, sf))
-    return good.select("event_id", F.lit(None).cast("string").alias("reason")).unionByName(
-        bad.select("event_id", "reason")
-    )
+    return events.read_events(messages(spark, sf)).select("event_id", "reason")
 
 
 FRAMES_SQL = """
