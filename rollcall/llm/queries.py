@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm.decontaminate import contamination
-from rollcall.llm.licenses import license_scan
+from rollcall.llm.licenses import PHRASES, TEMPLATES, license_scan
 from rollcall.llm.near_dedup import near_groups
 from rollcall.llm.passages import shared_passages
 from rollcall.llm.quality import quality
@@ -57,7 +58,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_licenses")
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(documents(spark, sf_dir))
+    return license_scan(documents(spark, sf_dir)).drop("n_templates")
 
 
 @query("op6_token_files")
@@ -91,4 +92,96 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "warc")
     files = write_archives(documents(spark, sf_dir, "pages"), folder)
-    return read_archives(spark, folder, files)
+    return read_archives(spark, folder, files).drop("url", "stored_bytes")
+
+
+def _words(column: str, pattern: str, lower: bool = True) -> str:
+    text = f"coalesce({column}, '')"
+    if lower:
+        text = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({text}, '{pattern}')"
+
+
+BLANK = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+SQL["op1_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words("text", BLANK)} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4
+    THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id AS root, doc_id AS node FROM n UNION SELECT r.root, b.v FROM r JOIN b ON b.u = r.node)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n
+JOIN (SELECT node, min(root) AS c FROM r GROUP BY node) m ON m.node = n.doc_id"""
+
+SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h"""
+
+SQL["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_words("text", ALNUM)} AS w FROM documents),
+i AS (SELECT item_id, {_words("text", ALNUM)} AS w FROM benchmark),
+c AS (SELECT item_id, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+x AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM c)),
+y AS (SELECT doc_id, k, j, array_to_string(w[j:j + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j
+    FROM d, (SELECT DISTINCT k FROM x) WHERE len(w) >= k)),
+m AS (SELECT doc_id, j, x.k, item_id FROM y JOIN x ON x.g = y.g AND x.k = y.k),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(j, j + k)) AS place FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+def _template_pattern(template: str) -> str:
+    """A template as a pattern over words that are each followed by a blank."""
+    out = []
+    for token in re.findall(r"<<[^>]*>>|[^\s<>]+", template.lower()):
+        if token == "<<beginoptional>>":
+            out.append("(?:")
+        elif token == "<<endoptional>>":
+            out.append(")?")
+        elif token.startswith("<<var"):
+            out.append(f"(?:[^ ]+ ){{0,{token.strip('<>').split(';')[1]}}}")
+        else:
+            out.append(f"{token} ")
+    return " " + "".join(out)
+
+
+def _license_sql() -> str:
+    places = []
+    for phrase in PHRASES:
+        test = " AND ".join(f"w[j + {n}] = '{word}'" for n, word in enumerate(phrase.split(), 1))
+        places.append(f"list_filter(range(0, len(w)), lambda j: {test})")
+    base = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, label in enumerate(PHRASES.values()))
+    whole = ", ".join(
+        "CASE WHEN " + " OR ".join(f"regexp_matches(t, '{_template_pattern(x)}')" for x in found) + f" THEN '{label}' END"
+        for label, found in TEMPLATES.items())
+    columns = ", ".join(f"{p} AS p{n}" for n, p in enumerate(places))
+    joined = "list_concat(" * (len(places) - 1) + "p0" + "".join(f", p{n})" for n in range(1, len(places)))
+    tidy = "array_to_string(list_sort(list_distinct(list_filter({}, lambda z: z IS NOT NULL))), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, {_words("text", ALNUM)} AS w FROM documents),
+f AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t, {columns} FROM d),
+g AS (SELECT doc_id, len(w) AS n_words, {joined} AS p, [{base}] AS b, [{whole}] AS m FROM f)
+SELECT doc_id, n_words, len(p)::BIGINT AS n_base, list_min(p) AS first_word, list_max(p) AS last_word,
+  {tidy.format("b")} AS base_labels, {tidy.format("list_concat(b, m)")} AS labels,
+  CASE WHEN len(list_filter(m, lambda z: z IS NOT NULL)) > 0 THEN 1.0 WHEN len(p) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM g"""
+
+
+SQL["op5_licenses"] = _license_sql()
