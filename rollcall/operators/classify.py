@@ -83,6 +83,12 @@ def classify(
     return seen.withColumn("state", state).drop("__content", "__before", "__at")
 
 
+def unexpired(state: DataFrame, ttl_seconds: int) -> DataFrame:
+    """Entries seen within twice the time to live before the newest one; late rows may still need those."""
+    newest = state.agg(F.max(micros("last_seen")).alias("m")).scalar()
+    return state.where(micros("last_seen") > newest - F.lit(2 * ttl_seconds * 1_000_000))
+
+
 def latest_state(
     observations: DataFrame, *, keys: Sequence[str] = KEYS, content: str = "content_hash",
     ts: str = "ts", ordinal: str = "ordinal",

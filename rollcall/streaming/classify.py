@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from rollcall import fixed_values as fixed
-from rollcall.operators.classify import check_ttl, classify_batch, latest_state
+from rollcall.operators.classify import check_ttl, classify_batch, latest_state, unexpired
 from rollcall.plans.store import BatchTable, KeyedTable
 from rollcall.streaming.run import own_checkpoint, rewritten, start
 
@@ -34,7 +34,7 @@ def classify_stream(
         + [f"`{content}` {kinds[content]}", f"last_seen {kinds[ts]}"]
     )
     rows_schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + ", state STRING"
-    state = KeyedTable(spark, f"{out}/state", schema, keys)
+    state = KeyedTable(spark, f"{out}/state", schema, keys, live=lambda t: unexpired(t, ttl_seconds))
     result = BatchTable(spark, f"{out}/classified", rows_schema)
     options = {"keys": keys, "content": content, "ts": ts, "ordinal": ordinal}
 

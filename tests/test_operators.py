@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rollcall.operators import audit, extract, health, listing, responses, snapshot
 from rollcall.operators.classify import (
-    check_namespace, check_ttl, classify, classify_batch, latest_state, merge_state,
+    check_namespace, check_ttl, classify, classify_batch, latest_state, merge_state, unexpired,
 )
 from rollcall.plans.store import KeyedTable
 from rollcall.storage import work_path
@@ -200,3 +200,12 @@ def test_keyed_table_merges(spark):
     assert {tuple(r) for r in keyed.read(before=2).collect()} == {("a", 2), ("b", 1)}
     only = spark.createDataFrame([("a",)], "k string")
     assert keyed.read(only=only).count() == 1
+
+
+def test_merges_drop_expired_states(spark):
+    rows = [("a", "x", START), ("b", "x", START + dt.timedelta(seconds=30)), ("c", "x", START + dt.timedelta(seconds=49))]
+    schema = "base_hash string, content_hash string, last_seen timestamp"
+    table = KeyedTable(spark, work_path(spark, "keyed"), schema, ["base_hash"], merge_every=1,
+                       live=lambda t: unexpired(t, 10))
+    table.write(0, spark.createDataFrame(rows, schema))
+    assert sorted(r.base_hash for r in table.read().collect()) == ["b", "c"]
