@@ -204,8 +204,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinate
 
     joined = components(links(star_pairs(buckets), sets, percent))
 
+    # written, so that the join below is of two plain shuffles, which can be split at a hot class
     named = classes.join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left").select(
         "d1", "d2", F.col("n_shingles").alias("n"), F.coalesce("v", "rep").alias("component"))
+    named = written(named, "named")
     out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(
         named, (sketch.d1 == named.d1) & (sketch.d2 == named.d2) & (sketch.n_shingles == named.n), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
