@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 U = np.uint64
 BASE = 0x9E6C63D0876A9A4B  # odd
 STEP = U(0xD6E8FEB86659FD93)
