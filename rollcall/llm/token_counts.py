@@ -10,9 +10,11 @@ the end the chunk itself, up to the whole text.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,22 +39,38 @@ def tokenizer(path: str):
 
 
 class Pieces:
-    """What ``make`` gives for pieces of text, kept in a table of bounded size."""
+    """What ``make`` gives for pieces of text. The first ``limit`` pieces stay known, later ones for one call."""
 
     def __init__(self, make, limit: int = CACHE) -> None:
-        self.make, self.limit, self.known = make, limit, {}
+        self.make, self.limit, self.known, self.passing = make, limit, {}, []
 
     def of(self, lists: list[list[str]]) -> dict:
-        """A table that has every piece of ``lists``."""
-        new = set().union(*lists).difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = set().union(*lists)
-        pieces = list(new)
-        self.known.update(zip(pieces, self.make(pieces)))
+        """A table that has every piece of ``lists``, until the next call."""
+        for piece in self.passing:
+            del self.known[piece]
+        new = list(set().union(*lists).difference(self.known))
+        self.known.update(zip(new, self.make(new)))
+        self.passing = new if len(self.known) > self.limit else []
         return self.known
 
 
+# Latin letters and then marks without an apostrophe: every pre-tokenizer here cuts between the two.
+_WORD_AND_MARKS = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def halves(piece: str) -> tuple[str, str]:
+    """A piece cut where its word ends and its marks begin; words repeat more than the two together."""
+    found = _WORD_AND_MARKS.fullmatch(piece)
+    return found.groups() if found else (piece, "")
+
+
+def encodings(path: str, texts: list[str], step: int = 4096):
+    """(ids, bounds of each text among them) for texts encoded one by one, in chunks of ``step``."""
+    chunks = [texts[i:i + step] for i in range(0, len(texts), step)]
+    for chunk, found in zip(chunks, tokenizer(path).encode_batch(chunks, is_pretokenized=True, add_special_tokens=False)):
+        yield np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(chunk) + 1))
+
+
 def splice(text: str, encode, chunk: int, overlap: int) -> list[int]:
     """Token ids of a whole text from encodings (ids, starts) of overlapping chunks of it."""
     def part(a: int, b: int):
@@ -66,6 +84,10 @@ def splice(text: str, encode, chunk: int, overlap: int) -> list[int]:
         lap, joined = overlap, False
         while end - lap > at and not joined:
             begin = end - lap
+            shared = text[begin + 1:end]
+            if not any(gap in shared for gap in GAPS):  # nothing to splice at
+                lap *= 2
+                continue
             stop = min(begin + max(size, 2 * lap), len(text))
             more, places = part(begin, stop)
             have = set(starts[bisect_left(starts, begin + 1):])
@@ -93,16 +115,21 @@ def _encode(path: str):
     return encode
 
 
-def _sizes(path: str):
-    def sizes(pieces: list[str]):
-        return [len(e.ids) for i in range(0, len(pieces), 4096)
-                for e in tokenizer(path).encode_batch_fast(pieces[i:i + 4096], add_special_tokens=False)]
+@lru_cache(maxsize=2)
+def _known_sizes(path: str) -> Pieces:
+    """Token counts of pieces, kept for all tasks of a worker."""
+    words = Pieces(lambda texts: [n for _, b in encodings(path, texts) for n in np.diff(b).tolist()])
+
+    def make(pieces: list[str]) -> list[int]:
+        cut = [halves(x) for x in pieces]
+        n = words.of([[w for w, _ in cut], [m for _, m in cut]])
+        return [n[w] + n[m] for w, m in cut]
 
-    return sizes
+    return Pieces(make)
 
 
 def _count(batches, path: str, limit: int, chunk: int, overlap: int):
-    pieces = Pieces(_sizes(path))
+    pieces = _known_sizes(path)
     for batch in batches:
         texts = text_array(batch.column("text")).to_pylist()
         n = [0] * len(texts)

@@ -10,51 +10,62 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rollcall.llm.token_counts import Pieces, tokenizer
+from rollcall.llm.token_counts import Pieces, encodings, halves
 from rollcall.llm.vec import text_array
 from rollcall.llm.work import id_text
 
 FILE = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 BREAK = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"\s | \s")
+ODD = re.compile(r"\s\s|[^\S \n]")
 TEXTS = 128
 
 
 def split(text: str) -> list[str]:
-    """The text cut before single spaces between visible characters.
+    """A text cut where the pattern of byte-level pre-tokenizers always cuts.
 
-    The pattern of byte-level pre-tokenizers always starts a piece at such a space, so these
-    parts can be encoded one by one.
+    That is before a single blank and around a single line break between visible characters. All parts
+    but the first follow a blank, which is left out, or start with their line break.
     """
-    parts = text.split(" ") if not (ODD.search(text) or text[:1] == " " or text[-1:] == " ") else BREAK.split(text)
-    return parts
+    if ODD.search(text) or text[:1] == " " or text[-1:] == " ":
+        return BREAK.split(text)
+    return text.replace("\n", " \n").split(" ")
 
 
-def _ids(path: str):
-    def ids(pieces: list[str]):
-        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(pieces), 4096)
-                for e in tokenizer(path).encode_batch_fast(pieces[i:i + 4096], add_special_tokens=False)]
+@lru_cache(maxsize=2)
+def _known_ids(path: str) -> tuple[Pieces, Pieces]:
+    """Ids as bytes of exact strings, and of parts that follow a blank; kept for all tasks of a worker."""
+    exact = Pieces(lambda texts: [
+        data[4 * a:4 * b] for ids, cut in encodings(path, texts) for data in (ids.tobytes(),)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())])
 
-    return ids
+    def make(parts: list[str]) -> list[bytes]:
+        cut = [halves(x) for x in parts]
+        cut = [(w if w[:1] == "\n" else " " + w, m) for w, m in cut]
+        ids = exact.of([[w for w, _ in cut], [m for _, m in cut]])
+        return [ids[w] + ids[m] for w, m in cut]
+
+    return exact, Pieces(make)
 
 
 def _encode(batches, path: str, end_id: int):
     part, done = TaskContext.get().partitionId(), 0
-    first_of, rest = Pieces(_ids(path), 50_000), Pieces(lambda p: _ids(path)([" " + x for x in p]))
+    exact, rest = _known_ids(path)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         texts = text_array(batch.column("text")).to_pylist()
         for at in range(0, len(texts), TEXTS):
             lists = [split(t) for t in texts[at:at + TEXTS]]
-            heads, known = first_of.of([x[:1] for x in lists]), rest.of([x[1:] for x in lists])
-            found = [b"".join((heads[x[0]], *map(known.__getitem__, x[1:]), end)) for x in lists]
+            heads = exact.of([x[:1] for x in lists])
+            heads = [heads[x[0]] for x in lists]
+            known = rest.of([x[1:] for x in lists])
+            found = [b"".join((head, *map(known.__getitem__, x[1:]), end)) for head, x in zip(heads, lists)]
             n = np.array([len(x) // 4 for x in found], np.int64)
             bounds = np.concatenate([[0], np.cumsum(n)])
             ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
