@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.llm.conversations import damaged, repaired
 from rollcall.llm.decontaminate import contamination
+from rollcall.llm.fingerprints import edited_fingerprints
 from rollcall.llm.licenses import PHRASES, TEMPLATES, license_scan
 from rollcall.llm.near_dedup import near_groups
 from rollcall.llm.passages import shared_passages
@@ -17,6 +19,7 @@ from rollcall.llm.token_counts import token_counts
 from rollcall.llm.token_files import read_tokens, token_digests, write_tokens
 from rollcall.llm.toxicity import toxicity
 from rollcall.llm.warc import read_archives, write_archives
+from rollcall.llm.whitening import whitened
 from rollcall.llm.work import documents
 from rollcall.storage import work_path
 
@@ -95,6 +98,21 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder, files).drop("url", "stored_bytes")
 
 
+@query("op11_fingerprints")
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+@query("op12_conversations")
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(documents(spark, sf_dir, "conversations")))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(documents(spark, sf_dir, "embeddings"), components=32)
+
+
 def _words(column: str, pattern: str, lower: bool = True) -> str:
     text = f"coalesce({column}, '')"
     if lower:
@@ -185,3 +203,49 @@ FROM g"""
 
 
 SQL["op5_licenses"] = _license_sql()
+
+#: The crc32 of an ASCII text, eight bits a step.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda d, k: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"""
+
+SQL["op12_conversations"] = f"""
+WITH RECURSIVE s AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS again FROM s),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, role[1] AS x,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM m),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair FROM n),
+c AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows FROM f GROUP BY conv_id),
+e(letter, price) AS (VALUES ('D', 4), ('K', 0), ('R', 3)),
+p AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS state, {{'cost': 0::BIGINT, 'audit': '', 'text': ''}} AS b FROM s
+  UNION ALL
+  SELECT conv_id, i, state, min({{'cost': cost, 'audit': audit, 'text': text}}) FROM (
+    SELECT q.conv_id, f.i, CASE WHEN letter = 'D' THEN q.state WHEN letter = 'K' THEN x ELSE q.give END AS state,
+      cost + price + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost, audit || letter AS audit,
+      q.text || CASE WHEN letter = 'D' THEN ''
+        ELSE chr(10) || CASE WHEN letter = 'K' THEN role WHEN q.give = 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text END AS text
+    FROM (SELECT *, CASE state WHEN 'u' THEN 'a' ELSE 'u' END AS give FROM (
+        SELECT conv_id, i, CASE WHEN add = 0 THEN state WHEN state = 'u' THEN 'a' ELSE 'u' END AS state,
+          b.cost + 3 * add AS cost, b.audit || CASE WHEN add = 0 THEN '' ELSE 'I' END AS audit,
+          b.text || CASE WHEN add = 0 THEN '' WHEN state = 'u' THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' END AS text
+        FROM (SELECT *, unnest([0, 1]) AS add FROM p))) q
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i + 1 CROSS JOIN e
+    WHERE letter = 'D' OR fault IS NULL AND letter = 'R' OR fault = 'truncated' AND letter = 'R'
+      OR (fault IS NULL OR fault = 'truncated') AND (x = q.give OR x = 's' AND q.state = ''))
+  GROUP BY conv_id, i, state),
+z AS (SELECT p.conv_id, min({{'cost': b.cost + 3 * add, 'audit': b.audit || CASE WHEN add = 0 THEN '' ELSE 'I' END,
+    'text': b.text || CASE WHEN add = 0 THEN '' ELSE chr(10) || 'assistant:' END}}) AS b
+  FROM (SELECT *, unnest([0, 1]) AS add FROM p) p LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+  WHERE i = coalesce(rows, 0) AND (add = 0 AND state IN ('', 'a') OR add = 1 AND state = 'u') GROUP BY p.conv_id)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.cost AS cost, b.audit AS audit,
+  sha256(b.text[2:]) AS repaired_sha256 FROM z LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM z.conv_id"""
