@@ -11,6 +11,8 @@ ZONED = (
     r"^\d{4}-\d{2}-\d{2}[Tt _]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?([Zz]|[+-]\d{2}:?\d{2})$"
 )
 
+UNZONED = r"^\d{4}-\d{2}-\d{2}( \d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+
 
 def event_time(ts: Column | str) -> Column:
     """ISO-8601 in UTC with ``Z``; the fraction is shown only when there is one."""
@@ -24,6 +26,15 @@ def event_time(ts: Column | str) -> Column:
     )
 
 
+def utc_time(text: Column | str) -> Column:
+    """Parse an ISO-8601 text; one that names no zone is in UTC. NULL for any other text."""
+    text = col(text)
+    plain = F.regexp_replace(text, "[Tt_]", " ")
+    wall = F.when(plain.rlike(UNZONED), F.concat(plain, F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), " 00:00").otherwise(""),
+                                                 F.lit("+00:00")))
+    return F.coalesce(zoned_time(text), wall.try_cast("timestamp"))
+
+
 def zoned_time(text: Column | str) -> Column:
     """Parse a timestamp that names its zone; NULL for any other text."""
     text = col(text)
