@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([k for k in names if k.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
 
@@ -37,6 +37,7 @@ def test_stages_work_on_what_is_kept(spark):
     assert clean.columns == columns and 0 < clean.count() <= cut.count()
     last = corpus_pipeline.written(named["segmentation"](spark, clean, SF), "t")
     assert last.where("rank = 0").count() == clean.count() and last.where("NOT round_trip").count() == 0
+    assert last.where("size(ids) <> n_pieces").count() == 0
 
 
 def test_rest_imports_without_this_part(tmp_path):
