@@ -38,6 +38,33 @@ def classify_changes(spark, sf):
     )
 
 
+HOT_CHUNK = 2_000  # rows; so small that the hot key of the test tables is cut
+HOT_SQL = """(SELECT event_id, event_type, value, CASE WHEN event_id % 10 < 7 THEN -1 ELSE user_id END AS user_id,
+  CASE WHEN event_id % 10 < 7 THEN TIMESTAMP '2024-01-10' ELSE ts END AS ts FROM events
+  UNION ALL SELECT -event_id - 1, event_type, value, -1, TIMESTAMP '1970-01-01' FROM events WHERE event_id = 0)"""
+
+
+def hot_observations(spark, sf):
+    """A log in which one key holds 70 % of the rows at one time, and one row half a century before."""
+    rows, crowd = observations(spark, sf), F.col("event_id") % 10 < 7
+    moved = rows.withColumns({
+        "user_id": F.when(crowd, F.lit(-1)).otherwise(F.col("user_id")).cast(rows.schema["user_id"].dataType),
+        "ts": F.when(crowd, F.lit("2024-01-10").cast("timestamp_ntz")).otherwise(F.col("ts")),
+    })
+    early = rows.where("event_id = 0").withColumns({
+        "event_id": (-F.col("event_id") - 1).cast(rows.schema["event_id"].dataType),
+        "user_id": F.lit(-1).cast(rows.schema["user_id"].dataType), "ts": F.lit("1970-01-01").cast("timestamp_ntz"),
+    })
+    return moved.unionByName(early)
+
+
+@query("classify_hot_key", LAG_SQL.format(source=HOT_SQL) + "SELECT event_id, user_id::BIGINT AS user_id," + STATE_SQL + " FROM o")
+def classify_hot_key(spark, sf):
+    return classify(hot_observations(spark, sf), ttl_seconds=SIX_HOURS, min_chunk_rows=HOT_CHUNK, **LOG).select(
+        "event_id", F.col("user_id").cast("bigint").alias("user_id"), "state"
+    )
+
+
 @query("classify_incremental", LAG_SQL.format(source="events")
        + "SELECT event_id, user_id," + STATE_SQL
        + " FROM o WHERE ts >= TIMESTAMP '2024-01-16'")

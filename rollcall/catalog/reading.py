@@ -273,6 +273,16 @@ def failure_streaks(spark, sf):
     )
 
 
+@query("streaks_hot_key", STREAK_SQL.replace("user_id", "grp").replace("FROM events", "FROM (SELECT *, user_id % 2 AS grp FROM events)") + """
+SELECT grp, ordinal, consecutive_failures, cooldown_until, dead FROM r""")
+def streaks_hot_key(spark, sf):
+    """Two endpoints share all outcomes, so both are cut into chunks."""
+    rows = outcomes(spark, sf).withColumn("grp", F.col("user_id") % 2)
+    return health.failure_streaks(rows, keys=["grp"], min_chunk_rows=2000).select(
+        "grp", "ordinal", "consecutive_failures", "cooldown_until", "dead"
+    )
+
+
 @query("endpoint_state", STREAK_SQL + """
 SELECT user_id, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures,
   arg_max(consecutive_failures, ordinal) AS consecutive_failures,
@@ -339,6 +349,18 @@ def bounded_retention(spark, sf):
     ).select("user_id", "event_id")
 
 
+@query("long_retention", """
+WITH n AS (SELECT event_type, event_id, row_number() OVER w AS n, sum(length(props)) OVER w AS b FROM events
+  WINDOW w AS (PARTITION BY event_type ORDER BY event_id DESC))
+SELECT event_type, event_id FROM n WHERE n <= 1500 AND b <= 20000""")
+def long_retention(spark, sf):
+    """A buffer of thousands of captures, over pages that hold a fifth of the rows each."""
+    rows = table(spark, sf, "events").select("event_type", "event_id", F.length("props").alias("size"))
+    return responses.retained(
+        rows, page=["event_type"], order="event_id", size="size", max_payloads=1500, max_bytes=20_000, min_chunk_rows=1000
+    ).select("event_type", "event_id")
+
+
 @query("fingerprint_dedupe", """
 SELECT user_id, sha256(event_type || chr(0) || props) AS fingerprint, min(event_id) AS event_id
 FROM events GROUP BY 1, 2""")

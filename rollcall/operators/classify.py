@@ -72,9 +72,7 @@ def classify(
     """Add ``state`` to every observation, in (ts, ordinal) order inside a key."""
     check_ttl(ttl_seconds)
     timed = observations.withColumn("__at", micros(ts))
-    data = in_order(
-        timed, keys, [F.col("__at"), F.col(ordinal)], F.col("__at"), min_rows=min_chunk_rows
-    )
+    data = in_order(timed, keys, [F.col("__at"), F.col(ordinal)], min_rows=min_chunk_rows)
     seen = with_previous(data, {"__content": content, "__before": "__at"}).done()
     state = state_of(
         F.col("__content"), F.col("__before"), F.col(content), F.col("__at"), F.col(closed),
@@ -116,9 +114,7 @@ def classify_batch(
         *keys, F.col(content).alias("__s_content"), micros("last_seen").alias("__s_at")
     )
     timed = batch.withColumn("__at", micros(ts))
-    data = in_order(
-        timed, keys, [F.col("__at"), F.col(ordinal)], F.col("__at"), min_rows=min_chunk_rows
-    )
+    data = in_order(timed, keys, [F.col("__at"), F.col(ordinal)], min_rows=min_chunk_rows)
     seen = with_previous(data, {"__content": content, "__before": "__at"}).done()
     met = seen.join(touched, list(keys), "left")
     verdict = state_of(

@@ -101,9 +101,7 @@ def failure_streaks(
     if base_seconds <= 0 or max_seconds < base_seconds or max_failures < 1:
         raise ValueError("invalid health settings")
     timed = outcomes.withColumn("__at", micros("ts"))
-    data = in_order(
-        timed, keys, [F.col("__at"), F.col(ordinal)], F.col("__at"), min_rows=min_chunk_rows
-    )
+    data = in_order(timed, keys, [F.col("__at"), F.col(ordinal)], min_rows=min_chunk_rows)
     data = with_running_sum(data, {"__n": F.lit(1)})
     data = with_last_known(data, "__ok", F.when(F.col("success"), F.col("__n")))
     since = F.coalesce(F.col("__ok"), F.lit(0))

@@ -1,10 +1,12 @@
 """Ordered windows that survive a hot key.
 
 ``lag``, running totals and "last known value" need all rows of a key in order, so a plain window
-puts a key holding a third of the table into one task. Here only keys above a share of the table
-are cut into consecutive chunks of their position; a window runs inside each (key, chunk) and a
-small table carries the result of the earlier chunks over. Both side tables are bounded by
-construction: at most ``parts`` keys can hold more than 1/``parts`` of all rows, and their chunks
+puts a key holding a third of the table into one task. Here keys above a share of the table
+are cut into consecutive chunks of as many rows; a window runs inside each (key, chunk) and a
+small table carries the result of the earlier chunks over. The cuts are quantiles of the full order
+of the key's own rows, taken from a sample by hash, so chunks are even however the rows lie in time
+and a repeated task gives the same cuts. Both side tables are bounded by construction: at most
+``parts`` keys can hold more than 1/``parts`` of all rows, and their chunks
 number at most twice that, so both may be broadcast at any data size.
 """
 
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 PARTS = 16_384
 MIN_CHUNK_ROWS = 1_000_000
+SAMPLES = 64  # rows of a chunk that its cuts are taken from
+_STEPS = [2 ** j for j in range(PARTS.bit_length(), -1, -1)]  # of a binary search among the cuts of one key
 
-_CHUNK, _WIDTH, _LOW = "__chunk", "__width", "__low"
+_CHUNK, _CUTS, _HOT = "__chunk", "__cuts", "__hot"
 
 
 @dataclass(frozen=True)
@@ -38,7 +42,7 @@ class Ordered:
         return Ordered(rows, self.keys, self.order)
 
     def done(self) -> DataFrame:
-        return self.rows.drop(_CHUNK, _WIDTH)
+        return self.rows.drop(_CHUNK, _HOT)
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -53,42 +57,47 @@ def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], position: Column, *,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
     parts: int = PARTS, min_rows: int = MIN_CHUNK_ROWS,
 ) -> DataFrame:
-    """Keys holding more than 1/``parts`` of all rows, with the width of one chunk.
+    """Keys holding more than 1/``parts`` of all rows, with the first order value of every chunk but the first.
 
-    Reads only the key and position columns and counts before the shuffle.
+    Reads only the key and order columns. Counts combine before the shuffle; of a hot key about ``SAMPLES`` rows for
+    each chunk are gathered.
     """
     share = df.agg(F.count(F.lit(1)).alias("n")).scalar() / F.lit(parts)
     limit = F.greatest(F.lit(float(min_rows)), share)
-    spans = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(position).alias(_LOW), F.max(position).alias("hi")
-    )
-    pieces = F.ceil(F.col("n") / limit)
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col(_LOW) + 1) / pieces))
-    return spans.where(F.col("n") > limit).select(
-        *keys, _LOW, width.cast("bigint").alias(_WIDTH)
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    large = _renamed(large.select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("__pieces")), keys)
+    every = F.greatest(F.lit(1), F.floor(limit / SAMPLES)).cast("bigint")
+    some = df.where(F.pmod(F.xxhash64(*order), every) == 0).select(*keys, F.struct(*order).alias("__at_place"))
+    held = some.join(F.broadcast(large), _same(some, large, keys)).groupBy(*keys, "__pieces").agg(
+        F.sort_array(F.collect_list("__at_place")).alias("__places"))
+    places = F.col("__places")
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.col("__pieces") - 1),
+        lambda i: F.get(places, F.floor(i * F.size(places) / F.col("__pieces")).cast("int")),
     )
+    return held.select(*keys, F.array_distinct(cuts).alias(_CUTS))
 
 
 def in_order(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], position: Column, *,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
     parts: int = PARTS, min_rows: int = MIN_CHUNK_ROWS,
 ) -> Ordered:
-    """Cut hot keys into chunks of ``position``.
-
-    ``position`` is an integer expression that never falls along ``order`` inside a key.
-    """
+    """Cut hot keys into chunks of about as many rows along ``order``, which should be total inside a key."""
     keys = tuple(keys)
-    hot = _renamed(hot_keys(df, keys, position, parts=parts, min_rows=min_rows), keys)
+    hot = _renamed(hot_keys(df, keys, order, parts=parts, min_rows=min_rows), keys)
     joined = df.join(F.broadcast(hot), _same(df, hot, keys), "left")
-    chunk = F.when(
-        F.col(_WIDTH).isNotNull(), F.floor((position - F.col(_LOW)) / F.col(_WIDTH))
-    ).otherwise(F.lit(0))
-    rows = joined.withColumn(_CHUNK, chunk.cast("bigint")).drop(
-        _LOW, *[f"__r_{k}" for k in keys]
+    cuts, place = F.col(_CUTS), F.struct(*order)
+    chunk = F.aggregate(  # how many cuts are not above the row
+        F.array(*[F.lit(s) for s in _STEPS]), F.lit(0),
+        lambda found, s: F.when((found + s <= F.size(cuts)) & (F.get(cuts, found + s - 1) <= place), found + s)
+        .otherwise(found),
     )
+    rows = joined.withColumns({
+        _CHUNK: F.when(cuts.isNotNull(), chunk).otherwise(F.lit(0)).cast("bigint"), _HOT: cuts.isNotNull(),
+    }).drop(_CUTS, *[f"__r_{k}" for k in keys])
     return Ordered(rows, keys, tuple(order))
 
 
@@ -97,7 +106,7 @@ def _carry(
 ) -> DataFrame:
     """One row per chunk of a hot key with what the earlier chunks hand over."""
     per_chunk = (
-        data.rows.where(F.col(_WIDTH).isNotNull())
+        data.rows.where(_HOT)
         .groupBy(*data.keys, _CHUNK)
         .agg(*[c.alias(n) for n, c in totals.items()])
     )

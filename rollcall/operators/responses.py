@@ -65,9 +65,7 @@ def retained(
     if max_payloads <= 0 or (max_bytes is not None and max_bytes <= 0):
         raise ValueError("limits must be positive")
     if max_payloads > 1000:
-        newest = in_order(
-            captured, page, [-F.col(order)], -F.col(order), min_rows=min_chunk_rows
-        )
+        newest = in_order(captured, page, [-F.col(order)], min_rows=min_chunk_rows)
         summed = with_running_sum(newest, {"__n": F.lit(1), "__bytes": F.col(size)}).done()
         rows = summed.where(F.col("__n") <= max_payloads)
     else:

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.operators import audit, extract, health, listing, responses, snapshot
+from rollcall.operators import audit, extract, health, listing, ordered, responses, snapshot
 from rollcall.operators.classify import (
     check_namespace, check_ttl, classify, classify_batch, latest_state, merge_state, unexpired,
 )
@@ -209,3 +209,30 @@ def test_merges_drop_expired_states(spark):
                        live=lambda t: unexpired(t, 10))
     table.write(0, spark.createDataFrame(rows, schema))
     assert sorted(r.base_hash for r in table.read().collect()) == ["b", "c"]
+
+
+def test_chunks_are_even_at_one_time(spark):
+    """A key with 70 % of the rows at one time, and a stray one long before, is cut into even parts in order."""
+    rows = [(0, -10**9, 0)] + [(0, 5, i) for i in range(1, 7000)] + [(1 + i % 50, i, i) for i in range(3000)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, at long, n int")
+    data = ordered.in_order(df, ["k"], [F.col("at"), F.col("n")], min_rows=500).rows
+    sizes = {r["__chunk"]: r["count"] for r in data.where("k = 0").groupBy("__chunk").count().collect()}
+    assert len(sizes) == 14 and max(sizes.values()) < 2 * 500 and sum(sizes.values()) == 7000
+    ends = data.where("k = 0").groupBy("__chunk").agg(F.min(F.struct("at", "n")).alias("lo"), F.max(F.struct("at", "n")).alias("hi")) \
+        .orderBy("__chunk").collect()
+    assert all(tuple(a.hi) < tuple(b.lo) for a, b in zip(ends, ends[1:]))
+    assert data.where("k > 0").select("__chunk").distinct().collect() == [(0,)]
+    totals = ordered.with_running_sum(ordered.in_order(df, ["k"], [F.col("at"), F.col("n")], min_rows=500), {"c": F.lit(1)}).done()
+    place = sorted((a, n) for k, a, n in rows if k == 0)
+    got = {(r["at"], r["n"]): r["c"] for r in totals.where("k = 0").collect()}
+    assert got == {p: i + 1 for i, p in enumerate(place)}
+
+
+def test_chunks_of_empty_tables_and_null_keys(spark):
+    empty = spark.createDataFrame([], "k int, at long")
+    assert ordered.in_order(empty, ["k"], [F.col("at")], min_rows=1).done().collect() == []
+    rows = spark.createDataFrame([(None, i if i else None) for i in range(100)], "k int, at long")
+    data = ordered.with_running_sum(ordered.in_order(rows, ["k"], [F.col("at")], min_rows=10), {"c": F.lit(1)})
+    assert data.rows.select("__chunk").distinct().count() == 10
+    assert sorted((r["at"] or 0, r["c"]) for r in data.done().collect()) == [(i, i + 1) for i in range(100)]
