@@ -235,12 +235,33 @@ def event_validate(spark, sf):
     return events.read_events(messages(spark, sf)).select("event_id", "reason")
 
 
+DATA_SQL = """
+  '{"version":' || CASE WHEN value > 80 THEN '2' ELSE '1' END || ',"type":"' || CASE event_type WHEN 'signup' THEN 'JOB_GONE'
+  WHEN 'click' THEN 'JOB_CREATED' ELSE 'JOB_UPDATED' END || '","occurred_at":"2024-01-01T00:00:00'
+  || CASE event_type WHEN 'error' THEN '' ELSE 'Z' END || '","job":{"id":' || event_id || ',"base_hash":"'
+  || sha256(event_id::VARCHAR) || '"}' || CASE event_type WHEN 'purchase' THEN ',"extra":1}' ELSE '}' END"""
 FRAMES_SQL = """
 SELECT event_id, CASE event_type WHEN 'signup' THEN 'JOB_GONE' WHEN 'click' THEN 'JOB_CREATED'
-  ELSE 'JOB_UPDATED' END AS event, event_id::VARCHAR AS id FROM events WHERE value >= 3"""
+  ELSE 'JOB_UPDATED' END AS event, event_id::VARCHAR AS id, """ + DATA_SQL + """ AS data FROM events WHERE value >= 3"""
 
 
 @query("sse_frames", FRAMES_SQL)
 def sse_frames(spark, sf):
-    return events.feed_frames(messages(spark, sf)).select("event_id", "event", "id")
+    return events.feed_frames(messages(spark, sf)).select("event_id", "event", "id", "data")
+
+
+@query("frame_text", """
+WITH d AS (SELECT doc_id, '"' || replace(replace(replace(text, chr(92), repeat(chr(92), 2)), '"', chr(92) || '"'),
+  chr(10), chr(92) || 'n') || '"' AS note FROM documents)
+SELECT doc_id, '{"type":"JOB_CREATED","note":' || note || ',"a":[1.50,true,"x : y"],"job":{"id":' || doc_id || '}}' AS data
+FROM d""")
+def frame_text(spark, sf):
+    """White space goes between tokens only; keys keep their order and texts their blanks, quotes and backslashes."""
+    note = F.col("text")
+    for old, new in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        note = F.replace(note, F.lit(old), F.lit(new))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(
+        F.lit('\t{ "type" : "JOB_CREATED",\r\n"note" : "'), note, F.lit('" , "a": [ 1.50 ,true,\n"x : y" ], "job" : {"id" : '),
+        F.col("doc_id").cast("string"), F.lit(" } }\n")).alias("value"))
+    return events.feed_frames(rows).select("doc_id", "data")
 

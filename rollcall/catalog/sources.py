@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -233,7 +235,7 @@ def endpoint_list(spark, sf):
     return records.endpoint_list(rows)
 
 
-def commit_documents(spark, sf):
+def commit_documents(spark, sf, zone="Z", *more):
     """Commit details as JSON text, parsed with the schema of the source."""
     key = text("doc_id")
     files = F.array(
@@ -250,13 +252,28 @@ def commit_documents(spark, sf):
         html_url=F.when(F.col("lang") != "de", F.concat(F.lit("https://git.test/"), key)),
         commit=F.struct(
             F.concat(F.lit("doc "), key).alias("message"),
-            F.struct(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("date"))
+            F.struct(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00" + zone)).alias("date"))
             .alias("author"),
         ),
         files=files,
     )
     parsed = F.from_json(body, schemas.COMMIT_DETAIL)
-    return table(spark, sf, "documents").select(parsed.alias("d")).select("d.*")
+    rows = table(spark, sf, "documents").select(parsed.alias("d"), *more)
+    return rows.select("d.*", *rows.columns[1:])
+
+
+@query("commit_scan_filtered", """
+SELECT sha256(doc_id::VARCHAR) AS sha, 'doc ' || doc_id AS message, lang AS ref,
+  strftime(DATE '2024-01-01' + doc_id::INT, '%Y-%m-%d %H') AS hour FROM documents
+WHERE lang = 'en' AND source = 'src3' AND doc_id >= 31 ORDER BY doc_id DESC LIMIT 100""")
+def commit_scan_filtered(spark, sf):
+    """Commits of one ref that touch one path since a time; their dates name no zone."""
+    details = commit_documents(spark, sf, "", F.col("lang").alias("ref"))
+    good, _ = commits.commit_feed(details)
+    since = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
+    chosen = commits.select_commits(good, ref="en", path="src3.mdx", details=details, since=since, per_page=100)
+    utc = F.to_utc_timestamp("authored_at", F.current_timezone())
+    return chosen.select("sha", "message", "ref", F.date_format(utc, "yyyy-MM-dd HH").alias("hour"))
 
 
 @query("commit_scan", """
@@ -299,8 +316,6 @@ SELECT sha256(doc_id::VARCHAR) AS sha FROM documents WHERE lang <> 'de'
 LIMIT 30 OFFSET 30""")
 def commit_page(spark, sf):
     good, _ = commits.commit_feed(commit_documents(spark, sf))
-    import datetime as dt
-
     since = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
     return commits.select_commits(good, since=since, page=2).select("sha")
 

@@ -30,8 +30,8 @@ def utc_time(text: Column | str) -> Column:
     """Parse an ISO-8601 text; one that names no zone is in UTC. NULL for any other text."""
     text = col(text)
     plain = F.regexp_replace(text, "[Tt_]", " ")
-    wall = F.when(plain.rlike(UNZONED), F.concat(plain, F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), " 00:00").otherwise(""),
-                                                 F.lit("+00:00")))
+    wall = F.when(plain.rlike(UNZONED), F.concat(
+        plain, F.when(F.length(plain) == 10, " 00:00:00").when(F.length(plain) == 16, ":00").otherwise(""), F.lit("+00:00")))
     return F.coalesce(zoned_time(text), wall.try_cast("timestamp"))
 
 

@@ -1,13 +1,16 @@
 """Small operators: landing folders, look-ups, run rows, contracts."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from rollcall.functions import validate
 from rollcall.functions.text import unescape_html
-from rollcall.operators import health, listing
+from rollcall.functions.times import utc_time
+from rollcall.operators import events, health, listing
+from rollcall.schemas import COMMIT_DETAIL
 from rollcall.sources import commits, records
 from rollcall.storage import work_path
 
@@ -68,3 +71,41 @@ def test_contract_columns(spark):
 def test_character_references(spark):
     rows = spark.createDataFrame([("a &lt; b",), ("plain",), (None,)], "x string")
     assert [r[0] for r in rows.select(unescape_html("x")).collect()] == ["a < b", "plain", None]
+
+
+def test_compact_text_equals_a_json_round_trip(spark):
+    values = [
+        {"type": "t", "job": {"id": 7, "b": [1.5, None, True, "x , y : {z}"]}, "a": "é \\ \" \\\" 漢字 😀"},
+        {"z": 1, "a": {"y": [], "b": {}}, "s": "\\" * 3 + '"' * 3 + "\t\n end "}, [], "plain \" text ", 12,
+        {"long": "word \\ \" " * 20_000},
+    ]
+    texts = [json.dumps(v, ensure_ascii=False, indent=k, separators=(" ,\t", " :\r\n ")) for v in values for k in (None, 2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    got = [r[0] for r in df.orderBy("i").select(events.compact_json("value")).collect()]
+    assert got == [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in values for _ in (None, 2)]
+
+
+def test_times_without_a_zone_are_utc(spark):
+    rows = [("2026-03-01T10:00:00Z", 36000), ("2026-03-01T10:00:00", 36000), ("2026-03-01 10:00", 36000), ("2026-03-01", 0),
+            ("2026-03-01T10:00:00.5+02:00", 28800), ("2026-03-01T25:00:00", None), ("soon", None), (None, None)]
+    day = dt.datetime(2026, 3, 1, tzinfo=dt.timezone.utc).timestamp()
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = [r[0] for r in df.orderBy("i").select(F.floor(F.unix_micros(utc_time("t")) / 1_000_000)).collect()]
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == [None if s is None else day + s for _, s in rows]
+
+
+def test_commits_of_one_path_and_ref(spark):
+    schema = COMMIT_DETAIL + ", ref STRING"
+    detail = lambda sha, ref, *names: (sha, "https://git.test/" + sha, ("m", ("2026-01-01T00:00:00",)),
+                                       [(n, "modified", 1, 0, 1, None) for n in names], ref)
+    docs = spark.createDataFrame([detail("a", "main", "docs/x.md", "y.md"), detail("b", "main", "docs"), detail("c", "dev", "docs/z/q.md"),
+                                  detail("d", "main", "docsy/x.md"), detail("e", "main")], schema)
+    good, bad = commits.commit_feed(docs)
+    pick = lambda **how: [r.sha for r in commits.select_commits(good, **how).collect()]
+    assert pick(path="docs/", details=docs) == ["c", "b", "a"] and pick(path="docs", ref="main", details=docs) == ["b", "a"]
+    assert pick(ref="dev") == ["c"] and pick(path="none", details=docs) == [] and bad.count() == 0
+    with pytest.raises(ValueError):
+        pick(path="docs")
