@@ -110,8 +110,19 @@ def test_coalesce_matches_the_sequential_rule(spark):
         files += [(f, *x) for x in lines]
         want += [(f, *x) for x in coalesce_model(lines)]
     df = spark.createDataFrame(files, "f int, line_no int, kind string, content string")
-    got = extract.coalesce_rows(df, file=["f"]).collect()
-    assert sorted(tuple(x) for x in got) == sorted(want)
+    arrays = df.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("line_no", "kind", "content"))).alias("lines"))
+    arrays = arrays.unionAll(spark.createDataFrame(
+        [(-1, None), (-2, [])], "f int, lines array<struct<line_no int, kind string, content string>>"))
+    whole = extract.each_line(extract.join_rows(arrays, "lines"), "lines", ["f"])
+    assert sorted(tuple(x) for x in whole.collect()) == sorted(want)
+    assert "Exchange" not in extract.join_rows(df.select("f", F.array(F.struct("line_no", "kind", "content")).alias("lines")), "lines") \
+        ._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_file_is_joined_in_linear_time(spark):
+    rows = [("\n".join(f"<tr>\n<td>{i}</td>\n</tr>" for i in range(30_000)),)]
+    lines = extract.file_lines(spark.createDataFrame(rows, "text string"), joined=True)
+    assert lines.count() == 30_000 and lines.where("line_no = 89997").first().content == "<tr>\n<td>29999</td>\n</tr>"
 
 
 def test_diff_lines(spark):
