@@ -201,3 +201,14 @@ def validate(spark, sf):
     return good.select("c_custkey", none).unionByName(
         bad.select("c_custkey", F.array_join("reasons", ",").alias("reasons"))
     )
+
+
+@query("stored_url", """
+SELECT p_partkey, 'https://jobs.test/a/' || replace(p_name, ' ', '%20') || '/?q=%22' || p_partkey || '%20%C3%A9%27&r=%7E#x%20y' AS url
+FROM part UNION ALL SELECT -p_partkey, 'http://xn--bcher-kva.test:8080/' || p_size FROM part""")
+def stored_url(spark, sf):
+    parts, key = table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    plain = F.concat(F.lit("HTTPS://Jobs.Test:443/./a/b/%2E%2e/"), "p_name", F.lit('/?q="'), key, F.lit(" é'&r=%7E#x y"))
+    foreign = F.concat(F.lit(" http://Bücher.test:8080/z/../"), F.col("p_size").cast("string"))
+    return parts.select("p_partkey", urls.stored_url(plain).alias("url")).unionByName(
+        parts.select((-F.col("p_partkey")).alias("p_partkey"), urls.stored_url(foreign).alias("url")))

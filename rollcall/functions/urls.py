@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rollcall import fixed_values as fixed
 from rollcall.functions.text import col, let, nfkc, strip
 
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+_HOST = r"(?s)^([^/?#:]*://(?:[^/?#@]*@)?)([^/?#:@\[\]\\]*)(.*)$"
 _AUTHORITY = r"(?s)^//(.*@)?(\[[^\]]*\]|[^:@\[\]]*)(:.*)?$"
 
 
@@ -91,20 +96,79 @@ def _with_colon(scheme: Column) -> Column:
     return F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit(""))
 
 
+#: Characters that a stored URL holds in percent-encoding, besides those beyond ASCII.
+_IN_PATH = r"""[\x00-\x20"#<>?`{}\x7F]|[^\x00-\x7F]"""
+_IN_QUERY = r"""[\x00-\x20"#<>'\x7F]|[^\x00-\x7F]"""
+_IN_FRAGMENT = r"""[\x00-\x20"<>`\x7F]|[^\x00-\x7F]"""
+_IN_USER = r"""[\x00-\x20"#<>?`{}/;=\[\\\]^|\x7F]|[^\x00-\x7F]"""
+
+
+def _escaped(text: Column, pattern: str) -> Column:
+    """Text with the characters of a pattern as the percent-encoded bytes of their UTF-8 form; escapes stay as they are."""
+    one = lambda c: F.when(c.rlike(pattern), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+    return F.when(text.rlike(pattern), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+
+def _resolved(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments, which may be written with ``%2e``."""
+    def is_dots(part: Column, n: int) -> Column:
+        return part.rlike(r"(?i)^(?:\.|%2e){" + str(n) + "}$")
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(is_dots(part, 2), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))) \
+            .when(is_dots(part, 1), done).otherwise(F.concat(done, F.array(part)))
+
+    def joined(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        last = F.element_at(parts, -1)
+        ends = F.when(is_dots(last, 1) | is_dots(last, 2), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+        return F.concat(F.lit("/"), F.array_join(ends, "/"))
+
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), let(parts, joined)).otherwise(path)
+
+
+@F.pandas_udf(StringType())
+def _ascii_host(host: pd.Series) -> pd.Series:
+    """Hosts beyond ASCII by label in punycode; NULL where a label cannot be written so, and for NULL."""
+    def encoded(name):
+        if name is None:
+            return None
+        try:
+            labels = re.split("[.\u3002\uff0e\uff61]", unicodedata.normalize("NFKC", name).lower())
+            return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels)
+        except UnicodeError:
+            return None
+
+    return host.map(encoded, na_action="ignore")
+
+
 def stored_url(url: Column | str) -> Column:
-    """The form kept in a snapshot: lower-case scheme and host, ``/`` for an empty path."""
+    """The form kept in a snapshot.
 
+    Scheme and host are in lower case, the host in punycode (RFC 3492), default ports vanish, dot segments are resolved,
+    backslashes of the path are slashes, an empty path is ``/``, and what a URL cannot hold is percent-encoded.
+    Only hosts beyond ASCII are sent to Python.
+    """
     def build(p: Parts) -> Column:
         default = F.when(p.scheme == "https", F.lit("443")).otherwise(F.lit("80"))
         port = F.when((p.port == "") | (p.port == default), F.lit("")).otherwise(
             F.concat(F.lit(":"), p.port)
         )
-        path = F.when(p.path == "", F.lit("/")).otherwise(p.path)
+        slashed = F.replace(p.path, F.lit("\\"), F.lit("/"))
+        path = _resolved(F.when(slashed == "", F.lit("/")).otherwise(slashed))
+        user = F.when(p.userinfo != "", F.concat(_escaped(F.rtrim(p.userinfo, F.lit("@")), _IN_USER), F.lit("@"))).otherwise("")
         return F.concat(
-            p.scheme, F.lit("://"), p.userinfo, p.host, port, path, p.query, p.fragment
+            p.scheme, F.lit("://"), user, p.host, port, _escaped(path, _IN_PATH),
+            F.when(p.query == "", "").otherwise(F.concat(F.lit("?"), _escaped(F.substr(p.query, F.lit(2)), _IN_QUERY))),
+            F.when(p.fragment == "", "").otherwise(F.concat(F.lit("#"), _escaped(F.substr(p.fragment, F.lit(2)), _IN_FRAGMENT))),
         )
 
-    return with_parts(strip(url), build)
+    text = F.regexp_replace(strip(url), "[\t\r\n]", "")
+    host = F.regexp_extract(text, _HOST, 2)  # Python cannot stand inside the functions above, so the host is set first
+    foreign = _ascii_host(F.when(host.rlike("[^\\x00-\\x7F]"), host))
+    plain = F.when(foreign.isNotNull(), F.concat(F.regexp_extract(text, _HOST, 1), foreign, F.regexp_extract(text, _HOST, 3))).otherwise(text)
+    return with_parts(plain, build)
 
 
 def is_http_url(url: Column) -> Column:

@@ -34,25 +34,29 @@ def findings(
     postings: DataFrame, companies: DataFrame, logs: DataFrame, *, now: Column,
     stale_hours: float = 720,
 ) -> DataFrame:
-    """All offending postings as (code, id); the ids stay distributed."""
-    orphans = postings.join(
-        companies.select(F.col("id").alias("company_id")), "company_id", "left_anti"
-    )
-    unlogged = postings.where("is_closed").join(
-        logs.select(F.col("job_id").alias("id")).distinct(), "id", "left_anti"
-    )
-    found = (
-        orphans,
-        sharing(postings, "base_hash"),
-        sharing(postings, "content_hash"),
-        unlogged,
-        stale_closed(postings, now, stale_hours),
+    """All offending postings as (code, id); the ids stay distributed.
+
+    Both hashes are counted in one aggregate and the other findings are flags of one pass, so postings are scanned three
+    times (once for the counts), companies and logs once each.
+    """
+    orphan, same_base, same_content, unlogged, stale = fixed.AUDIT_CODES
+    hashes = F.array(*[F.struct(F.lit(code).alias("code"), F.col(name).alias("hash"))
+                       for code, name in ((same_base, "base_hash"), (same_content, "content_hash"))])
+    held = postings.select("id", F.explode(hashes).alias("h")).select("id", "h.*").where("hash IS NOT NULL")
+    groups = held.groupBy("code", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # AQE splits this join where one hash is hot
+    sharing = held.join(groups, ["code", "hash"], "left_semi").select("code", "id")
+    known = companies.select(F.col("id").alias("company_id")).distinct().withColumn("known", F.lit(True))
+    logged = logs.select(F.col("job_id").alias("id")).distinct().withColumn("logged", F.lit(True))
+    old = F.col("updated_at") < now - F.make_dt_interval(secs=F.lit(float(stale_hours) * 3600))
+    flags = F.array(
+        F.when(F.col("known").isNull(), F.lit(orphan)),
+        F.when(F.col("is_closed") & F.col("logged").isNull(), F.lit(unlogged)),
+        F.when(F.col("is_closed") & old, F.lit(stale)),
     )
-    out = None
-    for code, rows in zip(fixed.AUDIT_CODES, found):
-        part = rows.select(F.lit(code).alias("code"), "id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = postings.select("id", "company_id", "is_closed", "updated_at")
+    flagged = rows.join(known, "company_id", "left").join(logged, "id", "left").select(F.explode(flags).alias("code"), "id")
+    return sharing.unionByName(flagged.where("code IS NOT NULL"))
 
 
 def audit_summary(found: DataFrame) -> DataFrame:

@@ -150,3 +150,18 @@ def test_envelopes():
         '{"x": "]}"}', '{"y": {"jobs": []}}', '{"z": 1}', '{"jobs": null, "data": [1]}']
     assert [r["path"] for r in records_of(text)] == [[0, 0, 0], [0, 0, 1], [1, 0], [2]]
     assert records_of("5") == records_of('"jobs"') == records_of("[]") == []
+
+
+def test_stored_url(spark):
+    cases = [
+        ("https://Bücher.example/a/../b c", "https://xn--bcher-kva.example/b%20c"), ("HTTPS://Jobs.test:443", "https://jobs.test/"),
+        ("http://x.test:80/a/%2e%2E/b/.", "http://x.test/b/"), ("http://x.test/../..", "http://x.test/"),
+        ("http://x.test/a/b/..", "http://x.test/a/"), ("http://x.test/a..b/.c/...", "http://x.test/a..b/.c/..."),
+        ("https://x.test:8443/é?ü=1&b='#ß", "https://x.test:8443/%C3%A9?%C3%BC=1&b=%27#%C3%9F"),
+        ("https://日本。example/", "https://xn--wgv71a.example/"), ("https://[::1]:443/x", "https://[::1]/x"),
+        ("https://me:p w@x.test/?", "https://me:p%20w@x.test/?"), (" https://x.test/a%20b%zz ", "https://x.test/a%20b%zz"),
+        ("https://x.test/😀" + "y" * 2000, "https://x.test/%F0%9F%98%80" + "y" * 2000), (None, None),
+    ]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(cases)], "i int, u string")
+    got = [r[0] for r in df.orderBy("i").select(urls.stored_url("u")).collect()]
+    assert got == [w for _, w in cases]
