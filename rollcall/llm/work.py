@@ -19,6 +19,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    Executors keep them until the driver's garbage collector finds that no plan needs them, by default once in half an hour,
+    so that a row of large jobs would hold the files of all of them at once.
+    """
+    spark._jvm.java.lang.System.gc()
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
