@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from rollcall import fixed_values as fixed
 from rollcall.functions.envelopes import open_envelope
-from rollcall.functions.text import casefold, col, collapse, let, strip
+from rollcall.functions.text import casefold, col, collapse, let, once, strip
 from rollcall.functions.urls import is_http_url, join_url
 
 ITEMS = "array<variant>"
+OBJECT = "map<string,variant>"
 
 
 @dataclass(frozen=True)
@@ -35,9 +36,10 @@ def _at(value: Column, path: str, kind: str = "variant") -> Column:
 
 def _text(value: Column) -> Column:
     """White space collapsed; NULL unless the value is a non-empty string."""
-    is_text = F.schema_of_variant(value) == "STRING"
-    words = collapse(F.when(is_text, F.try_variant_get(value, "$", "string")))
-    return F.when(words != "", words)
+    # The schema of a large object is dear to print, so only scalars are asked for theirs.
+    scalar = F.try_variant_get(value, "$", OBJECT).isNull() & F.try_variant_get(value, "$", ITEMS).isNull()
+    is_text = F.when(scalar, F.schema_of_variant(value) == "STRING")
+    return F.nullif(collapse(F.when(is_text, F.try_variant_get(value, "$", "string"))), F.lit(""))
 
 
 def _text_at(value: Column, *paths: str) -> Column:
@@ -49,7 +51,7 @@ def _list_at(value: Column, path: str) -> Column:
 
 
 def _is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(value, "$", OBJECT).isNotNull()
 
 
 def _tidy(values: Column) -> Column:
@@ -57,7 +59,7 @@ def _tidy(values: Column) -> Column:
 
 
 def _or_unspecified(values: Column) -> Column:
-    return F.when(F.size(values) > 0, values).otherwise(F.array(F.lit(fixed.UNSPECIFIED)))
+    return let(values, lambda v: F.when(F.size(v) > 0, v).otherwise(F.array(F.lit(fixed.UNSPECIFIED))))
 
 
 def _json(value: Column) -> Column:
@@ -100,13 +102,27 @@ def _outcome(rows: DataFrame, failures: DataFrame) -> Mapped:
     )
 
 
+#: The place of a document among those read, before they were spread.
+READ = "__read"
+
+
+def spread(documents: DataFrame) -> DataFrame:
+    """Documents dealt out evenly to all cores, with their place as ``READ``.
+
+    Captures are small to read and dear to parse: a few megabytes of a file, which one task reads, hold a million of them.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return documents.withColumn(READ, F.monotonically_increasing_id()).repartition(parts)
+
+
 def _open_envelope(
     documents: DataFrame, body: str, path: str, reason: str, keep: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    parsed = documents.withColumn("__items", _at(F.try_parse_json(body), path, ITEMS))
-    items = parsed.where("__items IS NOT NULL").select(
-        *keep, F.posexplode("__items").alias("ordinal", "item")
-    )
+    parsed = once(spread(documents.select(*keep, F.col(body).alias("__body"))),
+                  __items=_at(F.try_parse_json("__body"), path, ITEMS))
+    items = parsed.select(
+        *keep, READ, F.posexplode_outer("__items").alias("ordinal", "item")
+    ).where("ordinal IS NOT NULL")
     failures = parsed.where("__items IS NULL").select(*keep, F.lit(reason).alias("reason"))
     return items, failures
 
@@ -118,9 +134,8 @@ def board_a(documents: DataFrame, *, board: str = "board", body: str = "body") -
     )
     item = F.col("item")
     token = strip(board)
-    ident = _at(item, "$.id", "string")
-    title = _text_at(item, "$.title")
-    url = _text_at(item, "$.absolute_url")
+    items = once(items, __id=_at(item, "$.id", "string"), __title=_text_at(item, "$.title"), __url=_text_at(item, "$.absolute_url"))
+    ident, title, url = F.col("__id"), F.col("__title"), F.col("__url")
     places = F.concat(
         F.array(_text_at(item, "$.location.name")),
         F.transform(
@@ -130,7 +145,7 @@ def board_a(documents: DataFrame, *, board: str = "board", body: str = "body") -
     )
     kept = F.struct(*[_at(item, f"$.{k}").alias(k) for k in fixed.BOARD_A_METADATA])
     rows = _raw(
-        items, [board, "ordinal"],
+        items, [board, READ, "ordinal"],
         source=F.lit(fixed.BOARD_A),
         source_id=F.concat(F.lit(f"{fixed.BOARD_A}:"), token, F.lit(":"), ident),
         company=token,
@@ -162,9 +177,9 @@ def board_b(documents: DataFrame, *, site: str = "site", body: str = "body") ->
         usable, body, "$", "response must be a JSON array", [site]
     )
     item = F.col("item")
-    title = _text_at(item, "$.text")
-    ident = _text_at(item, "$.id")
-    url = _text_at(item, "$.applyUrl", "$.hostedUrl")
+    items = once(items, __id=_text_at(item, "$.id"), __title=_text_at(item, "$.text"),
+                 __url=_text_at(item, "$.applyUrl", "$.hostedUrl"))
+    ident, title, url = F.col("__id"), F.col("__title"), F.col("__url")
 
     def places(value: Column) -> Column:
         is_text = F.schema_of_variant(value) == "STRING"
@@ -185,13 +200,13 @@ def board_b(documents: DataFrame, *, site: str = "site", body: str = "body") ->
         F.lit(fixed.BOARD_B).alias("provider"), strip(site).alias("site"), item.alias("raw")
     )
     rows = _raw(
-        items, [site, "ordinal"],
+        items, [site, READ, "ordinal"],
         source=F.lit(fixed.BOARD_B),
         source_id=ident,
         company=strip(site),
         title=title,
         apply_url=url,
-        location=F.when(F.size(location) > 0, location),
+        location=let(location, lambda v: F.when(F.size(v) > 0, v)),
         closed=F.lit("false"),
         payload=_json(payload),
         reason=F.when(~_is_object(item), F.lit("not an object"))
@@ -251,8 +266,9 @@ def portal(
         )
         return F.coalesce(listed, F.array(_text(value)))
 
-    title, link, ident = first("title"), first("url"), first("id")
-    url = join_url(F.lit(config["base"]), link)
+    records = once(records, __id=first("id"), __title=first("title"), __link=first("url"))
+    records = once(records, __url=join_url(F.lit(config["base"]), F.col("__link")))
+    ident, title, url = F.col("__id"), F.col("__title"), F.col("__url")
     location = _tidy(F.concat(*[places(f"$.{k}") for k in config["location"]]))
     payload = F.struct(F.lit(name).alias("provider"), item.alias("raw"))
     rows = _raw(
@@ -283,11 +299,11 @@ def flatten_envelopes(
     document. A document is one cell, so one pass over its text finds the records, without a shuffle.
     Documents that are not JSON are returned as rejects.
     """
-    read = documents.select(*key, F.col(body).alias("body"))
-    good = read.where(F.try_parse_json("body").isNotNull()) \
+    read = once(spread(documents.select(*key, F.col(body).alias("body"))), __sound=F.try_parse_json("body").isNotNull()).drop(READ)
+    good = read.where("__sound") \
         .select(*key, F.inline(open_envelope("body"))) \
         .select(*key, "path", F.parse_json("record").alias("record"))
-    left = read.where(F.try_parse_json("body").isNull()).select(
+    left = read.where("NOT __sound").select(
         *key, F.array().cast("array<int>").alias("path"), "body", F.lit("not valid JSON").alias("reason")
     )
     return good, left

@@ -247,3 +247,24 @@ def test_chunks_of_empty_tables_and_null_keys(spark):
     data = ordered.with_running_sum(ordered.in_order(rows, ["k"], [F.col("at")], min_rows=10), {"c": F.lit(1)})
     assert data.rows.select("__chunk").distinct().count() == 10
     assert sorted((r["at"] or 0, r["c"]) for r in data.done().collect()) == [(i, i + 1) for i in range(100)]
+
+
+def test_captured_documents_are_read_by_all_cores(spark):
+    from rollcall.sources import records
+
+    one = spark.range(0, 400, 1, 1)
+    boards = one.selectExpr("'b' AS board", "'s' AS site", "concat('{\"jobs\":[{\"id\":', id, '}]}') AS body")
+    records_in = one.selectExpr("id AS doc", "concat('{\"jobId\":\"', id, '\"}') AS body")
+    found = [records.board_a(boards).rejects, records.board_b(boards).failures, records.flatten_envelopes(records_in)[0]]
+    for rows in found:
+        assert rows.rdd.getNumPartitions() > 1
+        assert rows.count() == 400
+
+
+def test_a_filter_does_not_repeat_what_is_worked_out_once(spark):
+    from pyspark.sql import functions as F
+    from rollcall.functions.text import once
+
+    rows = once(spark.range(3).selectExpr("cast(id AS string) AS t"), code=F.sha2("t", 256)).where("code IS NOT NULL AND code <> ''")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    assert rows.count() == 3
