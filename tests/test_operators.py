@@ -268,3 +268,18 @@ def test_a_filter_does_not_repeat_what_is_worked_out_once(spark):
     rows = once(spark.range(3).selectExpr("cast(id AS string) AS t"), code=F.sha2("t", 256)).where("code IS NOT NULL AND code <> ''")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
     assert rows.count() == 3
+
+
+def test_file_contents_are_decoded_once(spark):
+    from rollcall.sources import commits
+
+    rows = spark.createDataFrame(
+        [("a", "s", "base64", "aGVs\r\nbG8=\n"), ("b", "s", "base64", "aG Vs*bG8="), ("c", "s", "none", "aGVsbG8="), ("d", "s", "base64", "a"),
+         ("e", "s", "base64", None), ("f", "s", "base64", "/w==")],
+        "path string, sha string, encoding string, content string")
+    good, bad = commits.file_texts(rows)
+    assert {r.path: r.text for r in good.collect()} == {"a": "hello", "b": "hello"}
+    assert {r.path: r.reason for r in bad.collect()} == {
+        "c": "unsupported file encoding", "d": "invalid file content", "e": "metadata is missing", "f": "invalid file content"}
+    for side in (good, bad):
+        assert side._jdf.queryExecution().optimizedPlan().toString().count("to_binary") <= 1
