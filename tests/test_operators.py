@@ -283,3 +283,15 @@ def test_file_contents_are_decoded_once(spark):
         "c": "unsupported file encoding", "d": "invalid file content", "e": "metadata is missing", "f": "invalid file content"}
     for side in (good, bad):
         assert side._jdf.queryExecution().optimizedPlan().toString().count("to_binary") <= 1
+
+
+def test_observed_lines_are_stored_where_the_caller_says(spark):
+    from rollcall.operators import extract
+    from rollcall.plans.ingest import observe_lines
+
+    names = []
+    files = spark.sql("SELECT 'c' AS commit, 'u' AS html_url, TIMESTAMP'2024-01-01' AS authored_at, 0 AS file_ordinal, "
+                      "'README.md' AS filename, '+| a | b |' AS patch")
+    observe_lines(extract.diff_lines(files, joined=True), season=2026, job_type="internship", namespace="n",
+                  materialize=lambda df, name: names.append(name) or df)
+    assert names == ["extracted", "observations"]
