@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from rollcall.llm import segment as sg, token_counts as tc, token_files as tf
+from rollcall.llm import queries
 from rollcall.llm.queries import vocabulary
 from rollcall.llm.vec import U, blocks, mix
 from rollcall.storage import work_path
@@ -167,3 +168,10 @@ def test_segmentations_of_a_table(spark):
     plain = sg.decode(sg.encode(docs_frame(spark, given, True), path), path).collect()
     assert Counter((r.doc_id, r.text) for r in plain) == Counter((i, t or "") for i, t in given)
     assert sg.sampled_segmentations(docs_frame(spark, []), path).collect() == []
+
+
+def test_the_query_returns_the_segmentations_themselves(spark):
+    """The ids stand beside their digest and decode to the texts."""
+    got = queries.op7_segmentations(spark, "/root/testdata/sf0.001").limit(60)
+    rows = got.select("doc_id", "rank", "ids", "n_pieces", "ids_crc32").collect()
+    assert rows and all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
