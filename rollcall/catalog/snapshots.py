@@ -196,11 +196,7 @@ def log_transitions(spark, sf):
     known = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(
         F.col("o_orderkey").alias("id")
     )
-    good, bad = snapshot.log_transitions(requests, known)
-    columns = ["job_id", "l_linenumber", "l_partkey"]
-    return good.select(*columns, F.lit(None).cast("string").alias("reason")).unionByName(
-        bad.select(*columns, "reason")
-    )
+    return snapshot.checked_transitions(requests, known).select("job_id", "l_linenumber", "l_partkey", "reason")
 
 
 def messages(spark, sf):

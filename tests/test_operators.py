@@ -295,3 +295,20 @@ def test_observed_lines_are_stored_where_the_caller_says(spark):
     observe_lines(extract.diff_lines(files, joined=True), season=2026, job_type="internship", namespace="n",
                   materialize=lambda df, name: names.append(name) or df)
     assert names == ["extracted", "observations"]
+
+
+def test_status_entries_are_checked_in_one_join(spark):
+    """Accepted and refused entries come from one pass; the query sorts no entry twice."""
+    from rollcall.catalog import snapshots
+
+    plan = snapshots.log_transitions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan
+    asked = spark.createDataFrame([(1, "OPEN", " CLOSED "), (1, "OPEN", "OPEN "), (2, "OPEN", ""), (3, None, "OPEN"), (None, None, "OPEN")],
+                                  "job_id bigint, previous_state string, new_state string")
+    known = spark.createDataFrame([(1,), (1,), (2,)], "id bigint")
+    tagged = snapshot.checked_transitions(asked, known)
+    assert sorted((r.job_id or 0, r.reason or "") for r in tagged.collect()) == [
+        (0, "the listing does not exist"), (1, ""), (1, "a status log needs a transition"), (2, "new state must not be empty"),
+        (3, "the listing does not exist")]
+    good, bad = snapshot.log_transitions(asked, known)
+    assert good.count() == 1 and bad.count() == 4
