@@ -144,3 +144,20 @@ def test_files_without_a_path_are_rejects(spark):
     result = ingest.full_sync(files, config, season=2026)
     assert result.classified.count() == 1
     assert [r.reason for r in result.rejected.collect()] == ["file path is missing"] * 2
+
+
+def test_files_of_one_repository_are_read_in_many_tasks(spark):
+    """Files meet their configuration without a shuffle by repository, also where Spark broadcasts nothing by itself."""
+    files = spark.range(40).select(
+        F.when(F.col("id") >= 0, "o/r").alias("repository"), F.concat(F.col("id").cast("string"), F.lit(".md")).alias("path"),
+        F.lit("s").alias("sha"), F.lit(ROW.format(place="Here")).alias("text"))
+    config = spark.createDataFrame([("o/r", "intern")], "repository string, job_type string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = ingest.full_sync(files, config, season=2026, materialize=False)
+        plan = done.rejected._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert done.classified.count() == 40
