@@ -146,6 +146,51 @@ def test_files_without_a_path_are_rejects(spark):
     assert [r.reason for r in result.rejected.collect()] == ["file path is missing"] * 2
 
 
+def test_lines_are_routed_once_and_accepted_text_is_not_stored(spark):
+    """Both outcomes start from the stored lines: no window is left behind them, and only rejects keep their text."""
+    from rollcall.operators import extract
+
+    good, stored = ROW.format(place="Here"), {}
+    lines = [good, "| ↳ | Cook | There | [x](https://jobs.test/2) | d |", "| half | a line", "prose", "",
+             "| " + "x" * 501 + " | Clerk | Y | [x](https://jobs.test/3) | d |", "| ↳ | Maid | Z | [x](https://jobs.test/4) | d |"]
+    first = commit(spark, 1, "\n".join("+" + x for x in lines))
+    alone = commit(spark, 2, "+| ↳ | Lost | Z | [x](https://jobs.test/5) | d |")
+
+    def store(df, name):
+        stored[name] = ingest.written(df, name)
+        return stored[name]
+
+    read = extract.diff_lines(first.unionByName(alone), joined=True)
+    seen, refused = ingest.observe_lines(read, season=2026, job_type="internship", namespace="n", materialize=store)
+    for side in (seen, refused):
+        assert "Window" not in side._jdf.queryExecution().optimizedPlan().toString()
+    kept = stored["extracted"].collect()
+    assert {r.title for r in kept if r.reason is None} == {"Intern", "Cook", "Maid"}
+    assert all((r.content is None) == (r.reason is None) for r in kept) and len(kept) == 6
+    old_good, old_bad = extract.route_rows(extract.extract_rows(read))
+    assert sorted((r.commit, r.line_no, r.company) for r in kept if r.reason is None) == sorted(
+        (r.commit, r.line_no, r.company) for r in old_good.select("commit", "line_no", "row.company").collect())
+    assert sorted((r.commit, r.line_no, r.content, r.reason) for r in refused.collect()) == sorted(
+        (r.commit, r.line_no, r.content, r.reason) for r in old_bad.collect())
+
+
+def test_one_per_signature_is_both_steps(spark):
+    from rollcall.operators import dedupe
+
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 97 > 0, (F.col("id") % 7).cast("string")).alias("commit"),
+        (F.xxhash64("id") % 50).cast("string").alias("base_hash"),
+        (F.xxhash64("id", F.lit(1)) % 4).cast("string").alias("content_hash"),
+        F.when(F.xxhash64("id", F.lit(2)) % 5 == 0, "added").otherwise("removed").alias("kind"),
+        (F.col("id") % 3).cast("int").alias("file_ordinal"), F.col("id").cast("int").alias("line_no"),
+    ).withColumns({"is_removed": F.col("kind") == "removed",
+                   "bad_line": F.when(F.col("line_no") % 11 == 0, F.struct("file_ordinal", "line_no"))})
+    both = dedupe.signature_dedupe(dedupe.suppress_replaced(rows), scope=("commit", "bad_line"))
+    once = dedupe.one_per_signature(rows, apart="bad_line")
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
+
+
 def test_files_of_one_repository_are_read_in_many_tasks(spark):
     """Files meet their configuration without a shuffle by repository, also where Spark broadcasts nothing by itself."""
     files = spark.range(40).select(
