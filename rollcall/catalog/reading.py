@@ -10,6 +10,8 @@ from rollcall.functions.hashing import digest
 from rollcall.functions.urls import endpoint
 from rollcall.operators import audit, health, listing, responses
 
+ROWS_PER_PART = 250_000
+
 
 def postings(spark, sf):
     return table(spark, sf, "orders").select(
@@ -383,10 +385,13 @@ s AS (SELECT run, min(page) AS stop FROM r WHERE k > 1 GROUP BY run)
 SELECT run, page, count(*) AS items FROM l LEFT JOIN s USING (run)
 WHERE page <= 6 AND (stop IS NULL OR page < stop) GROUP BY 1, 2""")
 def page_cut(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    # one deal by run serves all windows, groups and joins below; an order has few lines, so no run is large
+    parts = max(spark.sparkContext.defaultParallelism, lines.count() // ROWS_PER_PART)
     place = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
         "l_partkey", "l_quantity", "l_extendedprice"
     )
-    rows = table(spark, sf, "lineitem").select(
+    rows = lines.repartition(parts, "l_orderkey").select(
         F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("page"),
         F.row_number().over(place).alias("ordinal"), F.col("l_returnflag").alias("source_id"),
     )

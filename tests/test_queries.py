@@ -20,3 +20,15 @@ def con():
 def test_query(spark, con, name):
     problem, _, _ = compare(spark, con, entry.queries()[name], SQL.get(name), SF)
     assert problem == ""
+
+
+def test_page_cut_deals_lines_once_in_parts_of_bounded_size(spark, monkeypatch):
+    from rollcall.catalog import reading
+
+    monkeypatch.setattr(reading, "ROWS_PER_PART", 100)
+    found = reading.page_cut(spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    deals = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert deals and all(f", {lines // 100}), REPARTITION_BY_NUM" in x for x in deals)
+    assert found.count() > 0
